@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, simhash
+from . import byte_bpe, chat, quality, simhash
 from .support import documents
 
 
@@ -22,9 +22,99 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preferences(chat.neighbouring_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+OP8_SQL = """
+WITH turns AS (
+  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, role, text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), matched AS (
+  SELECT pair_id, pos, count(*) = 2 AND count(DISTINCT coalesce(role, chr(1))) = 1
+         AND count(DISTINCT coalesce(text, chr(1))) = 1 AS same
+  FROM turns GROUP BY pair_id, pos
+), cut AS (
+  SELECT pair_id, coalesce(min(pos) FILTER (NOT same) - 1, max(pos)) AS n_prefix FROM matched GROUP BY pair_id
+), rendered AS (
+  SELECT t.*, n_prefix, '<|' || coalesce(role, '') || '|>' || chr(10) AS head,
+         coalesce(text, '') || chr(10) || '<|end|>' || chr(10) AS body
+  FROM turns t JOIN cut USING (pair_id)
+), runs AS (
+  SELECT *, '0*' || length(head) || ',' || CASE WHEN role = 'assistant' THEN '1' ELSE '0' END || '*' || length(body) AS run
+  FROM rendered
+)
+SELECT pair_id, CAST(any_value(n_prefix) AS BIGINT) AS n_prefix,
+       count(*) FILTER (side = 0) AS n_chosen, count(*) FILTER (side = 1) AS n_rejected,
+       coalesce(string_agg(head || body, '' ORDER BY pos) FILTER (side = 0 AND pos <= n_prefix), '') AS prompt,
+       coalesce(string_agg(head || body, '' ORDER BY pos) FILTER (side = 0 AND pos > n_prefix), '') AS chosen,
+       coalesce(string_agg(head || body, '' ORDER BY pos) FILTER (side = 1 AND pos > n_prefix), '') AS rejected,
+       coalesce(string_agg(run, ',' ORDER BY pos) FILTER (side = 0 AND pos > n_prefix), '') AS chosen_mask,
+       coalesce(string_agg(run, ',' ORDER BY pos) FILTER (side = 1 AND pos > n_prefix), '') AS rejected_mask
+FROM runs GROUP BY pair_id
+"""
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+#: Sketches hold groups of up to quality.K documents exactly, so that SQL can state the thresholds of small tables.
+OP9_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines
+  FROM documents
+), w AS (
+  SELECT k, unnest(range(1, len(words) - 3)) AS i, words FROM d WHERE len(words) >= 5
+), v AS (
+  SELECT k, i, count(*) OVER (PARTITION BY k, words[i], words[i + 1], words[i + 2], words[i + 3], words[i + 4]) AS c FROM w
+), r AS (
+  SELECT k, sum(least(5, coalesce(nx - i, 5))) AS n
+  FROM (SELECT k, i, lead(i) OVER (PARTITION BY k ORDER BY i) AS nx FROM v WHERE c > 1) GROUP BY k
+), m AS (
+  SELECT doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines
+  FROM d LEFT JOIN r USING (k)
+), s AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+         n_symbols::DOUBLE / greatest(word_chars, 1) AS symbol_share,
+         n_dup_lines::DOUBLE / greatest(n_lines, 1) AS line_share,
+         word_chars::DOUBLE / greatest(n_words, 1) AS word_length
+  FROM m
+), good AS (SELECT * FROM s WHERE NOT base_failed
+), sizes AS (
+  SELECT lang, source, count(*) AS n, any_value(ln) AS ln
+  FROM (SELECT lang, source, count(*) OVER (PARTITION BY lang) AS ln FROM good) GROUP BY lang, source
+), q AS (
+  SELECT z.lang, z.source, quantile_disc(g.symbol_share, [0.25, 0.5, 0.75]) AS sy,
+         quantile_disc(g.line_share, [0.25, 0.5, 0.75]) AS li, quantile_disc(g.word_length, [0.25, 0.5, 0.75]) AS wl
+  FROM sizes z JOIN good g ON (z.n >= 200 AND g.lang IS NOT DISTINCT FROM z.lang AND g.source IS NOT DISTINCT FROM z.source)
+       OR (z.n < 200 AND z.ln >= 200 AND g.lang IS NOT DISTINCT FROM z.lang) OR (z.n < 200 AND z.ln < 200)
+  GROUP BY z.lang, z.source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(
+         symbol_share <= greatest(sy[3] + 4.0 * (sy[3] - sy[1]), 0.03)
+         AND line_share <= greatest(li[3] + 4.0 * (li[3] - li[1]), 0.5)
+         AND word_length >= least(wl[1] - 4.0 * (wl[3] - wl[1]), 0.75 * wl[2])
+         AND word_length <= greatest(wl[3] + 4.0 * (wl[3] - wl[1]), 1.3 * wl[2]), TRUE) AS kept
+FROM s LEFT JOIN q ON q.lang IS NOT DISTINCT FROM s.lang AND q.source IS NOT DISTINCT FROM s.source
+"""
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op5_simhash": op5_simhash,
+    "op8_chat": op8_chat,
+    "op9_quality": op9_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_chat": OP8_SQL, "op9_quality": OP9_SQL}
