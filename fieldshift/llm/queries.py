@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, quality, simhash
+from . import byte_bpe, chat, quality, simhash, substring
 from .support import documents
 
 
@@ -18,6 +18,35 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), w AS (
+  SELECT k, doc_id, i, array_to_string(words[i : i + 49], ' ') AS passage
+  FROM (SELECT k, doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM d WHERE len(words) >= 50 AND doc_id IS NOT NULL)
+), gone AS (
+  SELECT k, i FROM (SELECT k, i, doc_id, min(doc_id) OVER (PARTITION BY passage) AS first FROM w) WHERE first < doc_id
+), covered AS (
+  SELECT DISTINCT k, i + unnest(range(0, 50)) AS i FROM gone
+), kept AS (
+  SELECT p.k, string_agg(p.word, ' ' ORDER BY p.i) AS text, count(*) AS n
+  FROM (SELECT k, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d) p ANTI JOIN covered c
+    ON p.k = c.k AND p.i = c.i
+  GROUP BY p.k
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (k)
+"""
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -66,8 +95,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS text,
-         regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words,
-         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines
+         regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines
   FROM documents
 ), w AS (
   SELECT k, unnest(range(1, len(words) - 3)) AS i, words FROM d WHERE len(words) >= 5
@@ -112,9 +143,10 @@ FROM s LEFT JOIN q ON q.lang IS NOT DISTINCT FROM s.lang AND q.source IS NOT DIS
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op4_substring": op4_substring,
     "op5_simhash": op5_simhash,
     "op8_chat": op8_chat,
     "op9_quality": op9_quality,
 }
 
-ORACLES: dict[str, str] = {"op8_chat": OP8_SQL, "op9_quality": OP9_SQL}
+ORACLES: dict[str, str] = {"op4_substring": OP4_SQL, "op8_chat": OP8_SQL, "op9_quality": OP9_SQL}
