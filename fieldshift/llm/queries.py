@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, quality, simhash, substring
+from . import byte_bpe, chat, quality, simhash, substring, token_files
 from .support import documents
 
 
@@ -141,12 +141,17 @@ FROM s LEFT JOIN q ON q.lang IS NOT DISTINCT FROM s.lang AND q.source IS NOT DIS
 """
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digests(token_files.store(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op4_substring": op4_substring,
     "op5_simhash": op5_simhash,
     "op8_chat": op8_chat,
     "op9_quality": op9_quality,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLES: dict[str, str] = {"op4_substring": OP4_SQL, "op8_chat": OP8_SQL, "op9_quality": OP9_SQL}
