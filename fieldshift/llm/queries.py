@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, licenses, quality, simhash, substring, token_files
+from . import byte_bpe, chat, licenses, quality, secret_scan, simhash, substring, token_files
 from .support import documents
 
 
@@ -55,6 +55,17 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    secrets = F.filter("findings", lambda f: f["secret"])
+    place = lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["stop"].cast("string"))
+    return secret_scan.scan(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_candidates",
+        F.size(secrets).cast("long").alias("n_secrets"),
+        F.array_join(F.transform(secrets, place), ",").alias("secrets"),
+    )
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preferences(chat.neighbouring_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
@@ -154,6 +165,7 @@ QUERIES = {
     "op3_licenses": op3_licenses,
     "op4_substring": op4_substring,
     "op5_simhash": op5_simhash,
+    "op6_secrets": op6_secrets,
     "op8_chat": op8_chat,
     "op9_quality": op9_quality,
     "op10_token_files": op10_token_files,

@@ -1,0 +1,77 @@
+import re
+
+import numpy as np
+
+from fieldshift.llm import secret_scan as s
+
+KEY = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+
+
+def test_held_out_accuracy():
+    model = s.default_model()
+    judged = [(v >= s.CUT, label) for text, label in s.labelled_findings(1500, seed=77) for _, v in s.judge(text, model)]
+    assert len(judged) > 1200
+    assert sum(a == b for a, b in judged) / len(judged) >= 0.97
+
+
+def test_training_sample_is_bounded_and_order_independent_runs_agree():
+    findings = s.labelled_findings(600, seed=1)
+    a, b = s.train(findings, most=200), s.train(findings, most=200)
+    x = np.array([s.features(t, c) for t, _ in findings for c in s.candidates(t)])
+    assert np.array_equal(a.votes(x), b.votes(x))
+    assert s.train([]).votes(x[:3]).tolist() == [0, 0, 0]
+
+
+def test_trees_equal_plain_walks():
+    rng = np.random.default_rng(0)
+    x = rng.random((200, 6))
+    y = (x[:, 2] + x[:, 4] > 1).astype(float)
+    forest = s.Forest.fit(x, y, trees=5)
+
+    def walk(tree, row):
+        feature, cut, left, right, vote = tree
+        at = 0
+        while feature[at] >= 0:
+            at = left[at] if row[feature[at]] <= cut[at] else right[at]
+        return vote[at]
+
+    want = [sum(walk(t, r) for t in forest.trees) / 5 for r in x]
+    assert np.allclose(forest.votes(x), want)
+    assert ((forest.votes(x) > 0.5) == (y > 0.5)).mean() > 0.95
+
+
+def test_scan_and_redact(spark):
+    texts = [
+        None, "", f'w token = "{KEY}" x', f'TOKEN = "{KEY.upper()}"!!', f'a token = "{KEY}"### b', f"commit {KEY} merged",
+        "plain prose without anything", 'password = "your_password_here"', "word " * 20000 + f'token = "{KEY}"', f'é🙂 token = "{KEY}" ñ',
+    ]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(None, texts[2], "x"), (2, texts[2], "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, findings string")
+    got = s.scan(docs).collect()
+    assert len(got) == len(rows)
+    by_id = {r.doc_id: r for r in got}
+    for i, t in enumerate(texts):
+        secrets = [t[f.start : f.stop] for f in by_id[i].findings if f.secret]
+        assert [x.lower() for x in secrets] == ([KEY] if i in (2, 3, 4, 8, 9) else []), t
+    clean = s.redact(docs)
+    assert clean.schema == docs.schema
+    after = {r.doc_id: r for r in clean.collect()}
+    assert after[2].text == 'w token = "<assigned>" x' and after[5].text == texts[5] and after[0].text is None
+    assert after[2].findings == "x" and clean.count() == len(rows)
+
+
+def test_empty(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert s.scan(empty).count() == 0 and s.redact(empty).count() == 0
+
+
+def test_query_finds_every_planted_key(spark):
+    from fieldshift.llm.queries import op6_secrets
+
+    d = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in op6_secrets(spark, d).collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        want = len(re.findall(r'(?i)token = "[0-9a-f]{40}"', t))
+        assert got[i].n_secrets == want
