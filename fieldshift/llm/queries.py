@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, licenses, quality, secret_scan, simhash, substring, token_files
+from . import byte_bpe, chat, licenses, mixing, quality, secret_scan, simhash, substring, token_files
 from .support import documents
 
 
@@ -18,6 +18,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir)).drop("spans")
 
@@ -162,6 +166,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_mixing": op2_mixing,
     "op3_licenses": op3_licenses,
     "op4_substring": op4_substring,
     "op5_simhash": op5_simhash,
