@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, licenses, mixing, quality, secret_scan, simhash, substring, token_files
+from . import byte_bpe, chat, embedding_graph, licenses, mixing, quality, secret_scan, simhash, substring, token_files
 from .support import documents
 
 
@@ -70,6 +70,28 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_graph.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+), pairs AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.93
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a
+)
+SELECT e.vec_id, CAST((SELECT count(*) FROM pairs p WHERE p.a = e.vec_id) AS BIGINT) AS n_links,
+       CAST(c.component_id AS BIGINT) AS component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e LEFT JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON e.vec_id = c.a
+"""
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preferences(chat.neighbouring_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
@@ -171,9 +193,10 @@ QUERIES = {
     "op4_substring": op4_substring,
     "op5_simhash": op5_simhash,
     "op6_secrets": op6_secrets,
+    "op7_embedding_graph": op7_embedding_graph,
     "op8_chat": op8_chat,
     "op9_quality": op9_quality,
     "op10_token_files": op10_token_files,
 }
 
-ORACLES: dict[str, str] = {"op4_substring": OP4_SQL, "op8_chat": OP8_SQL, "op9_quality": OP9_SQL}
+ORACLES: dict[str, str] = {"op4_substring": OP4_SQL, "op7_embedding_graph": OP7_SQL, "op8_chat": OP8_SQL, "op9_quality": OP9_SQL}
