@@ -233,3 +233,21 @@ def near_duplicates(
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_first(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id names their component, once each; a row without an id stays.
+
+    Blank texts, whose fingerprint is zero, are grouped like any other. Among rows with one id the one with the smallest text hash stays; equal rows count as one.
+    """
+    own, key = F.col(f"`{id_col}`"), "_stays_id"
+    groups = near_duplicates(docs, id_col, text_col, radius)
+    stays = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("_rows"))
+    stays = materialize(stays, "stays")
+    single, several = (stays.where(c).select(key) for c in ("_rows = 1", "_rows > 1"))
+    kept = docs.join(single, own == F.col(key), "left_semi")
+    if not several.isEmpty():
+        rows = docs.join(several, own == F.col(key), "left_semi")
+        first = rows.groupBy(own).agg(F.min_by(F.struct("*"), F.xxhash64("*")).alias("_row"))
+        kept = kept.unionByName(first.select("_row.*"))
+    return kept.unionByName(docs.where(own.isNull()))

@@ -104,3 +104,14 @@ def test_query_equals_all_pairs(spark):
     got = {r.doc_id: r for r in op5_simhash(spark, d).collect()}
     assert {i: int(r.fingerprint, 16) for i, r in got.items()} == prints
     assert {i: r.component_id for i, r in got.items()} == groups(prints)
+
+
+def test_keep_first(spark):
+    rows = [(3, "a b c d e", "x"), (1, "a b c d e", "y"), (2, "f g h i j k", "z"), (1, "a b c d e", "q"), (None, "a b c d e", "n"), (4, None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string")
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sorted((r.doc_id or -1) for r in got) == [-1, 1, 2, 4]
+    assert simhash.keep_first(docs.where("doc_id > 1")).count() == 3
+    assert simhash.keep_first(docs.limit(0)).count() == 0
