@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from ..functions import raster
 from ..functions.grid import Grid
 from ..functions.rules import INDEX_RULES, midpoint
+from ..sources.scratch import few, written
 from .focal import window_means
 
 # Fixed values.
 SCORE = {"influence": 0.45, "capacity": 0.25, "loss_around": 0.20, "variability": 0.10}
 EXHAUSTED_CHANGE, EXHAUSTED_INDEX = 0.35, 0.18
 GREENING = (0.03, 0.08)
+PAIRS = len(INDEX_RULES) ** 2
 SCENARIOS = ("new_development", "stable_urban", "stable_green", "degradation", "other")
 
 
@@ -131,7 +133,8 @@ def degrade(scored: DataFrame, footprint: DataFrame, probabilities: DataFrame, w
     Eligible are degradation cells in the footprint under influence; exhausted ones count for quotas but aren't taken.
     """
     eligible = scored.where("scenario = 'degradation' and influence > 0").join(footprint, ["row", "col"], "left_semi")
-    table = quotas(eligible, probabilities, rising=False)
+    eligible = written(eligible, "losing")
+    table = few(quotas(eligible, probabilities, rising=False), PAIRS)
     tired = (F.abs(F.col("delta")) > raster.single(EXHAUSTED_CHANGE)) & (F.col("ndvi_target") < raster.single(EXHAUSTED_INDEX))
     taken = select_by_quota(eligible.where(~tired), table, width)
     needed = F.greatest(F.col("ndvi_target").cast("double") - _moves_to(True), F.lit(0.0))
@@ -140,8 +143,8 @@ def degrade(scored: DataFrame, footprint: DataFrame, probabilities: DataFrame, w
 
 def recover(scored: DataFrame, probabilities: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """(row, col, to_class, applied) of newly built cells that gain within their capacity, and the quota table."""
-    eligible = scored.where("scenario = 'new_development' and capacity > 0")
-    table = quotas(eligible, probabilities, rising=True)
+    eligible = written(scored.where("scenario = 'new_development' and capacity > 0"), "gaining")
+    table = few(quotas(eligible, probabilities, rising=True), PAIRS)
     taken = select_by_quota(eligible, table, width)
     needed = F.greatest(_moves_to(False) - F.col("ndvi_target").cast("double"), F.lit(0.0))
     return taken.select("row", "col", "to_class", F.least("capacity", F.greatest(needed, F.lit(raster.FLOAT_STEP))).alias("applied")), table

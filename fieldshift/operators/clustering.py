@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.raster import FLOAT_STEP
+from ..sources.scratch import written
 
 # Fixed values.
 MOST_STEPS, LEAST_SHIFT = 100, 1e-6
@@ -134,9 +135,7 @@ def numbered(table: DataFrame, order: Sequence[str], buckets: int = 64) -> DataF
     No partition holds all rows; the ranges are one row each.
     """
     ranged = table.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id())
-    from .regions import _shared
-
-    ranged = _shared(ranged)
+    ranged = written(ranged, "ranged")
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
     before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))

@@ -6,14 +6,12 @@ of one row need the row's cells in order, nothing needs the whole raster in one
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import Grid, from_utm
 from ..functions.rules import GAIN_CLASSES, LOSS_CLASSES
+from ..sources.scratch import written
 
 #: Regions that are kept of each type.
 MOST_REGIONS = 20
@@ -44,20 +42,6 @@ def run_links(runs: DataFrame) -> DataFrame:
     ).select(F.col("a.run_id").alias("upper"), F.col("b.run_id").alias("lower"))
 
 
-def _shared(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's checkpoint folder and read back."""
-    spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fieldshift-regions-"))
-        root = spark.sparkContext.getCheckpointDir()
-    path = f"{root.rstrip('/')}/regions-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _locally(spark: SparkSession, links: list) -> DataFrame:
     parent: dict[int, int] = {}
 
@@ -75,14 +59,14 @@ def _locally(spark: SparkSession, links: list) -> DataFrame:
 
 def _in_rounds(links: DataFrame, most: int = 200) -> DataFrame:
     """Smallest reachable run by rounds: take the lowest label around, then the label of the label."""
-    both = _shared(links.toDF("a", "b").unionByName(links.toDF("b", "a")).distinct())
-    now = _shared(both.groupBy(F.col("a").alias("run_id")).agg(F.least(F.min("b"), F.first("a")).alias("region_id")))
+    both = written(links.toDF("a", "b").unionByName(links.toDF("b", "a")).distinct())
+    now = written(both.groupBy(F.col("a").alias("run_id")).agg(F.least(F.min("b"), F.first("a")).alias("region_id")))
     for _ in range(most):
         around = both.join(now, both.b == now.run_id).groupBy("a").agg(F.min("region_id").alias("low"))
         lower = now.join(around, now.run_id == around.a).select("run_id", F.least("region_id", "low").alias("region_id"))
         label = lower.toDF("label", "jump")
         jumped = lower.join(label, lower.region_id == label.label).select("run_id", F.least("region_id", "jump").alias("region_id"))
-        fresh = _shared(jumped)
+        fresh = written(jumped)
         moved = fresh.join(now.withColumnRenamed("region_id", "old"), "run_id").where("region_id <> old").isEmpty()
         now = fresh
         if moved:

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.grid import Grid
 from ..functions.rules import CHANGE_RULES, INDEX_RULES
 from ..operators import allocation, clustering, pixels, polygons, quality, regions, statistics
+from ..sources.scratch import few, written
+
+#: Regions that are kept of both types.
+MOST = 2 * regions.MOST_REGIONS
 
 
 @dataclass
@@ -31,7 +35,7 @@ class Analysis:
 
     @cached_property
     def pixels(self) -> DataFrame:
-        return pixels.classified(pixels.valid_pixels(self.indexed)).persist()
+        return pixels.classified(pixels.valid_pixels(self.indexed))
 
     @cached_property
     def value_statistics(self) -> DataFrame:
@@ -46,11 +50,11 @@ class Analysis:
 
     @cached_property
     def probabilities(self) -> DataFrame:
-        return statistics.transition_probabilities(self.transitions, INDEX_RULES)
+        return few(statistics.transition_probabilities(self.transitions, INDEX_RULES), len(INDEX_RULES) ** 2)
 
     @cached_property
     def run_regions(self) -> DataFrame:
-        return regions.regions_of_runs(regions.change_runs(self.pixels)).persist()
+        return written(regions.regions_of_runs(written(regions.change_runs(self.pixels), "runs")), "run-regions")
 
     @cached_property
     def region_table(self) -> DataFrame:
@@ -58,19 +62,19 @@ class Analysis:
 
     @cached_property
     def largest(self) -> DataFrame:
-        return regions.largest_regions(self.region_table).persist()
+        return few(regions.largest_regions(self.region_table), MOST)
 
     @cached_property
     def region_cells(self) -> DataFrame:
-        return regions.region_cells(self.run_regions, self.largest).persist()
+        return written(regions.region_cells(self.run_regions, self.largest), "region-cells")
 
     @cached_property
     def geometry(self) -> DataFrame:
-        return polygons.geometry_features(self.largest, self.region_cells, self.grid).persist()
+        return few(polygons.geometry_features(self.largest, self.region_cells, self.grid), MOST)
 
     @cached_property
     def near(self) -> DataFrame:
-        return polygons.around(self.region_cells, self.geometry, self.grid).persist()
+        return written(polygons.around(self.region_cells, self.geometry, self.grid), "near")
 
     @cached_property
     def features(self) -> DataFrame:
@@ -83,7 +87,7 @@ class Analysis:
         table = self.geometry.drop("reach")
         for part in parts:
             table = table.join(part, "region_id", "left")
-        return polygons.fill_with_medians(table).persist()
+        return few(polygons.fill_with_medians(few(table, MOST)), MOST)
 
     @cached_property
     def region_model(self) -> tuple[DataFrame, DataFrame]:
@@ -94,15 +98,16 @@ class Analysis:
             return blank, clustering.region_cluster_statistics(blank)
         ranked = self.features.join(self.largest.select("region_id", "change_type", "rank"), "region_id")
         model = clustering.cluster(ranked, names, ["change_type", "rank"], most=2 * regions.MOST_REGIONS)
-        labelled = self.features.withColumn("cluster", model.label()).join(polygons.influence_weights(self.features), "region_id").persist()
-        stats = clustering.region_cluster_statistics(labelled)
+        labelled = self.features.withColumn("cluster", model.label()).join(polygons.influence_weights(self.features), "region_id")
+        labelled = few(labelled, MOST)
+        stats = few(clustering.region_cluster_statistics(labelled), MOST)
         meaning = clustering.name_region_clusters(stats.collect())  # a row per cluster
         table = labelled.sparkSession.createDataFrame(list(meaning.items()), "cluster int, scenario string")
-        return labelled.join(F.broadcast(table), "cluster"), stats
+        return few(labelled.join(table, "cluster"), MOST), stats
 
     @cached_property
     def influence(self) -> DataFrame:
-        return polygons.influence(self.near, self.region_model[0].select("region_id", "forecast_weight"), self.pixels, self.grid).persist()
+        return written(polygons.influence(self.near, self.region_model[0].select("region_id", "forecast_weight"), self.pixels, self.grid), "influence")
 
     @cached_property
     def scenarios(self) -> DataFrame:
@@ -111,8 +116,8 @@ class Analysis:
         inside = inside.groupBy("row", "col").agg(F.max("scenario").alias("region_scenario"))
         rest = self.pixels.join(inside, ["row", "col"], "left_anti")
         if rest.isEmpty():
-            return self.pixels.join(inside, ["row", "col"]).withColumnRenamed("region_scenario", "scenario").persist()
-        given = clustering.pixel_features(rest)
+            return self.pixels.join(inside, ["row", "col"]).withColumnRenamed("region_scenario", "scenario")
+        given = written(clustering.pixel_features(rest), "pixel-features")
         model = clustering.cluster(given, clustering.FEATURES, ["row", "col"])
         labelled = given.withColumn("cluster", model.label())
         meaning = clustering.name_pixel_clusters(clustering.pixel_cluster_statistics(labelled).collect())  # a row per cluster
@@ -120,12 +125,12 @@ class Analysis:
         named = labelled.join(F.broadcast(table), "cluster").select("row", "col", "cluster_scenario")
         both = self.pixels.join(inside, ["row", "col"], "left").join(named, ["row", "col"], "left")
         scenario = F.coalesce("region_scenario", "cluster_scenario", F.lit("other")).alias("scenario")
-        return both.select(*self.pixels.columns, scenario).persist()
+        return written(both.select(*self.pixels.columns, scenario), "scenarios")
 
     @cached_property
     def forecast(self) -> DataFrame:
         """Pixels with scenario and forecast: loss under quotas, recovery under quotas, then greening of steady town."""
-        return forecast_of(self.scenarios, self.influence, polygons.footprint(self.near), self.probabilities, self.grid, self.leak).persist()
+        return forecast_of(self.scenarios, self.influence, polygons.footprint(self.near), self.probabilities, self.grid, self.leak)
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -152,7 +157,7 @@ class Analysis:
 
 def forecast_of(cells: DataFrame, influence: DataFrame, footprint: DataFrame, probabilities: DataFrame, grid: Grid, leak: bool = True) -> DataFrame:
     """``cells`` (pixels with scenario) with forecast. The three changes fall in different scenarios."""
-    references = allocation.scenario_references(cells)
+    references = few(allocation.scenario_references(cells), 1)
     scored = allocation.degradation_scores(cells, influence, grid, leak)
     lost, _ = allocation.degrade(scored, footprint, probabilities, grid.width)
     after = allocation.apply_change(cells, lost, "decrease", "ndvi_target", "after_loss")

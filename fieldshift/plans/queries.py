@@ -13,6 +13,7 @@ from ..functions.grid import Grid, band_area, from_utm, snap_down, snap_up, to_u
 from ..functions.rules import CHANGE_RULES, INDEX_RULES, classify, single
 from ..operators import alignment, allocation, clustering, focal, pixels, polygons, quality, regions, statistics
 from ..sources import adapters
+from ..sources.scratch import written
 from .analysis import Analysis, forecast_of
 from .oracles import TRIANGLE
 
@@ -90,7 +91,7 @@ def staged(a: Analysis) -> DataFrame:
         .when(target >= single(0.45), "stable_green")
         .otherwise("other")
     )
-    return a.pixels.withColumn("scenario", scenario)
+    return written(a.pixels.withColumn("scenario", scenario), "staged")
 
 
 def _weights(a: Analysis) -> DataFrame:
@@ -98,7 +99,7 @@ def _weights(a: Analysis) -> DataFrame:
 
 
 def _influence(a: Analysis) -> DataFrame:
-    return polygons.influence(a.near, _weights(a), a.pixels, a.grid).persist()
+    return written(polygons.influence(a.near, _weights(a), a.pixels, a.grid), "influence")
 
 
 def _degraded(a: Analysis) -> tuple[DataFrame, DataFrame]:
