@@ -18,8 +18,13 @@ NODATA = -9999.0
 FLOAT_STEP = 2.0**-23
 
 
+# Filters are pushed below projections by putting each column's expression in its place, so these name their arguments
+# as few times as they can.
+
+
 def finite(value: Column) -> Column:
-    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
+    """Null for null; false for NaN, which compares above everything, and for infinities."""
+    return F.abs(value) < F.lit(float("inf"))
 
 
 def unmasked(raw: Column, nodata: float | None = NODATA, scale: float = 1.0, offset: float = 0.0) -> Column:
@@ -33,22 +38,23 @@ def unmasked(raw: Column, nodata: float | None = NODATA, scale: float = 1.0, off
 
 
 def clamp(value: Column, low: float = INDEX_MIN, high: float = INDEX_MAX) -> Column:
-    return F.when(value < single(low), single(low)).when(value > single(high), single(high)).otherwise(value)
+    """A value that is not null within bounds."""
+    return F.least(F.greatest(value, single(low)), single(high))
 
 
 def vegetation_index(red: Column, nir: Column) -> Column:
-    """(nir - red) / (nir + red) within [-1, 1]; null where a band is missing or the sum vanishes."""
+    """(nir - red) / (nir + red) within [-1, 1]; null where a band is missing or not finite, or the sum vanishes."""
     total = nir + red
-    ratio = ((nir - red) / F.when(F.abs(total) > F.lit(LEAST_SUM), total)).cast("float")
-    return F.when(finite(red) & finite(nir) & finite(total), clamp(ratio))
+    ratio = F.try_divide(nir - red, total).cast("float")
+    return F.when((F.abs(total) > F.lit(LEAST_SUM)) & finite(total), clamp(ratio))
 
 
 def in_range(value: Column) -> Column:
-    return finite(value) & value.between(single(INDEX_MIN), single(INDEX_MAX))
+    return value.between(single(INDEX_MIN), single(INDEX_MAX))
 
 
 def change(base: Column, target: Column) -> Column:
-    return F.when(finite(base) & finite(target), (target - base).cast("float"))
+    return (target - base).cast("float")
 
 
 def stored_factor(low: Column, high: Column) -> Column:

@@ -60,12 +60,28 @@ def holds(value: Column, rule: Rule) -> Column:
     return test
 
 
+def _tiles(rules: Sequence[Rule]) -> bool:
+    """Whether each rule begins just where the one before ends."""
+    ends = [(a.upper, not a.upper_closed) for a in rules[:-1]]
+    return rules[0].lower is None and rules[-1].upper is None and ends == [(b.lower, b.lower_closed) for b in rules[1:]]
+
+
 def classify(value: Column, rules: Sequence[Rule]) -> Column:
-    """The class of a FLOAT column; of overlapping rules the last wins; null, NaN and uncovered values have class 0."""
-    found = F.lit(NO_CLASS)
-    for rule in rules:
-        found = F.when(holds(value, rule), F.lit(rule.class_id)).otherwise(found)
-    return F.when(value.isNull() | F.isnan(value), F.lit(NO_CLASS)).otherwise(found).cast("int")
+    """The class of a FLOAT column; of overlapping rules the last wins; null, non-finite and uncovered values have class 0.
+
+    Rules that tile the line are read as steps, which names the value once per bound.
+    """
+    if _tiles(rules):
+        steps = [
+            F.when((value >= single(b.lower)) if b.lower_closed else (value > single(b.lower)), F.lit(b.class_id - a.class_id)).otherwise(F.lit(0))
+            for a, b in zip(rules, rules[1:])
+        ]
+        found = sum(steps, F.lit(rules[0].class_id))
+    else:
+        found = F.lit(NO_CLASS)
+        for rule in rules:
+            found = F.when(holds(value, rule), F.lit(rule.class_id)).otherwise(found)
+    return F.when(F.abs(value) < F.lit(float("inf")), found).otherwise(F.lit(NO_CLASS)).cast("int")
 
 
 def rule_table(spark: SparkSession, rules: Sequence[Rule]) -> DataFrame:
