@@ -46,7 +46,7 @@ def vegetation_index(red: Column, nir: Column) -> Column:
     """(nir - red) / (nir + red) within [-1, 1]; null where a band is missing or not finite, or the sum vanishes."""
     total = nir + red
     ratio = F.try_divide(nir - red, total).cast("float")
-    return F.when((F.abs(total) > F.lit(LEAST_SUM)) & finite(total), clamp(ratio))
+    return F.when((F.abs(total) > single(LEAST_SUM)) & finite(total), clamp(ratio))
 
 
 def in_range(value: Column) -> Column:

@@ -28,7 +28,7 @@ def _targets(falling: bool) -> str:
 def _index(date: str) -> str:
     total = f"(nir_{date} + red_{date})"
     ratio = f"least(greatest((nir_{date} - red_{date}) / {total}, (-1)::FLOAT), 1::FLOAT)"
-    return f"CASE WHEN abs({total}) > 1e-10 THEN {ratio} END AS ndvi_{date}"
+    return f"CASE WHEN abs({total}) > 1e-10::FLOAT THEN {ratio} END AS ndvi_{date}"
 
 
 CTES = f"""
