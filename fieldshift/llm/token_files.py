@@ -21,8 +21,8 @@ from .support import map_documents, raw_texts, scratch_path
 
 END_ID = 1
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 1000
-#: Words and word pieces that a Python worker remembers, and pieces given to the library at once.
-REMEMBERED, TOGETHER = 400_000, 256
+#: Words and word pieces that each of a worker's two generations remembers.
+REMEMBERED = 250_000
 
 #: Texts of these characters are in composed form and lower-cased character by character.
 _PLAIN = regex.compile(r"[\x21-\x7e\xc0-\xff]*")
@@ -38,47 +38,67 @@ class WordEncoder:
     def __init__(self, serialized: str, pieces: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_str(serialized)
+        self.model = self.tokenizer.model
         self.cut = regex.compile(pieces).findall
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        #: How the model spells bytes.
+        self.spelling = {ord(c): "".join(p for p, _ in spell(c)) for c in map(chr, [*range(33, 127), *range(192, 256)])}
+        self.words, self.pieces = Memory(), Memory()
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), TOGETHER):
-            part = pieces[at : at + TOGETHER]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            owners = np.array(found.word_ids, np.int64)
-            counts = np.bincount(owners, minlength=len(part)) if len(owners) else np.zeros(len(part), np.int64)
-            if len(counts) == len(part) and counts.all():
-                split = np.split(np.array(found.ids, "<u4"), np.cumsum(counts)[:-1])
-                self.pieces.update(zip(part, [ids.tobytes() for ids in split]))
-            else:
-                self.pieces.update((p, self._ids(p)) for p in part)
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            tokens = self.model.tokenize(piece if piece.isascii() else piece.translate(self.spelling))
+            ids = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+            self.pieces.put(piece, ids)
+        return ids
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if text.isalpha() and (text.isascii() or _PLAIN.fullmatch(text)):
+            return self._piece(text.lower())
+        if "<|" in text or not _PLAIN.fullmatch(text):
+            return self._ids(text)
+        return b"".join(map(self._piece, self.cut(text.lower())))
 
     def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [(t or b"").split() for t in texts]
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        words = self.words
-        new = {w for ws in split for w in ws if w not in words}
-        cuts: dict[bytes, list[str]] = {}
-        for word in new:
-            text = word.decode()
-            if "<|" in text or not _PLAIN.fullmatch(text):
-                words[word] = self._ids(text)
-            else:
-                cuts[word] = self.cut(text.lower())
-        self._learn(list({p for ps in cuts.values() for p in ps if p not in self.pieces}))
-        known = self.pieces.__getitem__
-        for word, pieces in cuts.items():
-            words[word] = b"".join(map(known, pieces))
-        return [b"".join(map(words.__getitem__, ws)) for ws in split]
+        out = []
+        for text in texts:
+            split = (text or b"").split()
+            known = self.words.now
+            for word in set(split).difference(known):
+                ids = self.words.get(word)
+                known[word] = self._word(word) if ids is None else ids
+            out.append(b"".join(map(known.__getitem__, split)))
+            self.words.turn()
+        return out
+
+
+class Memory:
+    """What was learned lately: a full generation becomes the old one, which is asked before learning anew."""
+
+    def __init__(self, most: int = REMEMBERED):
+        self.now: dict = {}
+        self.old: dict = {}
+        self.most = most
+
+    def get(self, key):
+        found = self.now.get(key)
+        return self.old.get(key) if found is None else found
+
+    def put(self, key, value) -> None:
+        self.now[key] = value
+        self.turn()
+
+    def turn(self) -> None:
+        if len(self.now) >= self.most:
+            self.now, self.old = {}, self.now
 
 
 _encoders: dict[int, WordEncoder] = {}
