@@ -354,7 +354,7 @@ ORACLES = {
            corner AS (SELECT row, col, floor(fy)::INT + a.i AS sr, floor(fx)::INT + b.i AS sc,
                   (CASE WHEN a.i = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END) * (CASE WHEN b.i = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END) AS w
                   FROM target, range(0, 2) a(i), range(0, 2) b(i))
-           SELECT k.row, k.col, round(sum(w * ndvi_base::DOUBLE) / sum(w), 5) AS value FROM corner k JOIN pixels p ON p.row = k.sr AND p.col = k.sc
+           SELECT k.row, k.col, round((sum(w * ndvi_base::DOUBLE) / sum(w))::FLOAT::DOUBLE, 5) AS value FROM corner k JOIN pixels p ON p.row = k.sr AND p.col = k.sc
            WHERE w > 0 GROUP BY k.row, k.col"""
     ),
     "quality_report": """SELECT unnest(['ndvi_range', 'target_ndvi_range', 'delta_range', 'forecast_range', 'spatial_grid', 'nodata_masks', 'statistics',
