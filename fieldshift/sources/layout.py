@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 import sqlite3
 import struct
@@ -70,9 +71,17 @@ def read_boundary(path: Path) -> tuple[list[Polygon], str]:
     polygons, crs = readers[path.suffix.lower()](path)
     if not polygons or any(len(ring) < 4 for rings in polygons for ring in rings):
         raise InputError(f"{path.name} holds no valid polygon")
+    if any(not all(math.isfinite(v) for p in ring for v in p) for rings in polygons for ring in rings):
+        raise InputError(f"{path.name} has coordinates that are not finite")
+    if not any(_twice_area(rings[0]) for rings in polygons):
+        raise InputError(f"{path.name} covers no area")
     return polygons, crs
 
 
+def _twice_area(ring: list[tuple[float, float]]) -> float:
+    return sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in zip(ring, ring[1:]))
+
+
 def _geojson(path: Path) -> tuple[list[Polygon], str]:
     data = json.loads(path.read_text(encoding="utf-8"))
     shapes = [f["geometry"] for f in data.get("features", [])] or [data.get("geometry", data)]
@@ -134,8 +143,7 @@ def _shapefile(path: Path) -> tuple[list[Polygon], str]:
             flat = struct.unpack_from(f"<{2 * points}d", data, at + 52 + 4 * parts)
             rings = [list(zip(flat[2 * a : 2 * b : 2], flat[2 * a + 1 : 2 * b : 2])) for a, b in zip(first, first[1:])]
             for ring in rings:
-                turn = sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in zip(ring, ring[1:]))
-                if turn < 0 or not polygons:
+                if _twice_area(ring) < 0 or not polygons:
                     polygons.append([ring])  # outer rings run clockwise
                 else:
                     polygons[-1].append(ring)

@@ -78,6 +78,10 @@ def test_discovery(tmp_path):
 def test_boundaries(tmp_path):
     boundary(tmp_path)
     assert layout.read_boundary(tmp_path / "b.geojson") == ([[RING]], "EPSG:32636")
+    flat = {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [2, 0], [0, 0]]]}
+    (tmp_path / "flat.geojson").write_text(json.dumps(flat))
+    with pytest.raises(InputError, match="no area"):
+        layout.read_boundary(tmp_path / "flat.geojson")
     shape = struct.pack("<BIII", 1, 3, 1, len(RING)) + b"".join(struct.pack("<dd", *p) for p in RING)
     with sqlite3.connect(tmp_path / "b.gpkg") as con:
         con.execute("create table gpkg_geometry_columns (table_name, column_name, srs_id)")
