@@ -245,7 +245,8 @@ def keep_first(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", te
     stays = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("_rows"))
     stays = materialize(stays, "stays")
     single, several = (stays.where(c).select(key) for c in ("_rows = 1", "_rows > 1"))
-    kept = docs.join(single, own == F.col(key), "left_semi")
+    # ids grow with the corpus, so they are never broadcast, however few: rows are dealt by id at every size
+    kept = docs.join(single.hint("merge"), own == F.col(key), "left_semi")
     if not several.isEmpty():
         rows = docs.join(several, own == F.col(key), "left_semi")
         first = rows.groupBy(own).agg(F.min_by(F.struct("*"), F.xxhash64("*")).alias("_row"))
