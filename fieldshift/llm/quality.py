@@ -123,11 +123,15 @@ MEASURES = ("symbol_share", "line_share", "word_length")
 
 
 def sketches(measured: DataFrame, k: int = K) -> DataFrame:
-    """One row per language and source with a KLL sketch per measure, over documents that pass the base rules."""
+    """One row per language and source with a KLL sketch per measure, over documents that pass the base rules.
+
+    The condition is in the sums: a filter would be pushed below the statistics and compute them again.
+    """
+    passed = ~F.col("base_failed")
     return (
-        measured.where("not base_failed")
-        .groupBy("lang", "source")
-        .agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(m, F.lit(k)).alias(m) for m in MEASURES])
+        measured.groupBy("lang", "source")
+        .agg(F.count_if(passed).alias("n"), *[F.kll_sketch_agg_double(F.when(passed, F.col(m)), F.lit(k)).alias(m) for m in MEASURES])
+        .where("n > 0")
     )
 
 
@@ -189,7 +193,7 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     )
     return (
         measured.join(F.broadcast(table) if few else table, same, "left")
-        .withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(True)))
+        .withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(within, F.lit(True))))
         .drop("_lang", "_source")
     )
 
