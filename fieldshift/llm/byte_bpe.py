@@ -17,10 +17,10 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from .support import map_documents
+from .support import Memory, map_documents
 
-#: Pieces and pre-tokens that one Python worker remembers.
-REMEMBERED = 400_000
+#: Pieces, and pre-tokens, that each of a Python worker's two generations remembers.
+REMEMBERED = 120_000
 #: Longer pieces are not remembered.
 LONGEST_REMEMBERED = 64
 
@@ -118,8 +118,7 @@ class Codec:
         self.hash, self.tokens = vocabulary, vocabulary.keys
         self.ranks = {t: i for i, t in enumerate(self.tokens) if t}
         self.split = regex.compile(pattern).findall
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pieces, self.words = Memory(REMEMBERED), Memory(REMEMBERED)
 
     def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
@@ -128,17 +127,15 @@ class Codec:
             whole = self.hash.find(raw)
             ids = np.array([whole] if whole >= 0 else heap_merge(raw, self.ranks), "<u4").tobytes()
             if len(word) <= LONGEST_REMEMBERED:
-                if len(self.words) >= REMEMBERED:
-                    self.words.clear()
-                self.words[word] = ids
+                self.words.put(word, ids)
         return ids
 
     def _slow(self, piece: str) -> bytes:
-        ids = b"".join(map(self._word, self.split(piece)))
+        ids = self.pieces.old.get(piece)
+        if ids is None:
+            ids = b"".join(map(self._word, self.split(piece)))
         if len(piece) <= LONGEST_REMEMBERED:
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            self.pieces[piece] = ids
+            self.pieces.now[piece] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -147,7 +144,8 @@ class Codec:
         else:
             head, *rest = text.split(" ")
             pieces = ([head] if head else []) + [f" {p}" for p in rest]
-        known, slow = self.pieces.get, self._slow
+        self.pieces.turn()  # between texts, so that one text sees one generation
+        known, slow = self.pieces.now.get, self._slow
         return b"".join([known(p) or slow(p) for p in pieces])
 
     def decode(self, ids: bytes) -> bytes:
@@ -166,9 +164,12 @@ def _codec(shared, pattern: str) -> Codec:
     return codec
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False
+) -> DataFrame:
     """(doc_id, n_tokens long, ids binary) per row: the whole text's ids, special tokens being ordinary text.
 
+    With ``decoded``, also what the ids decode to (binary), by the same Python worker, which halves their number.
     Each match of ``pattern`` is encoded by itself. A null or empty text gives no ids; ids may be null or repeated,
     every row stays; an empty table gives no row; extra columns are ignored. The vocabulary, whose size is fixed, is
     read on the driver and broadcast.
@@ -181,12 +182,16 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = [codec.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-            names = ["doc_id", "n_tokens", "ids"]
-            return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), counts, pa.array(ids, pa.binary())], names)
+            names, arrays = ["doc_id", "n_tokens", "ids"], [batch.column(0).cast(pa.int64()), counts, pa.array(ids, pa.binary())]
+            if decoded:
+                names.append("decoded")
+                arrays.append(pa.array(list(map(codec.decode, ids)), pa.binary()))
+            return pa.RecordBatch.from_arrays(arrays, names)
 
         return apply
 
-    return map_documents(docs, [id_col, text_col], "doc_id long, n_tokens long, ids binary", make)
+    schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded
+    return map_documents(docs, [id_col, text_col], schema, make)
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -12,8 +12,7 @@ from .support import documents
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.encode(documents(spark, sf_dir), vocabulary, public_tokenizers.PATTERN)
-    return byte_bpe.decode(encoded, vocabulary).select(
+    return byte_bpe.encode(documents(spark, sf_dir), vocabulary, public_tokenizers.PATTERN, decoded=True).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

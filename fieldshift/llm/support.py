@@ -81,3 +81,24 @@ def raw_texts(column: pa.Array) -> list[bytes | None]:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+class Memory:
+    """What was learned lately: a full generation becomes the old one, which is asked before learning anew."""
+
+    def __init__(self, most: int):
+        self.now: dict = {}
+        self.old: dict = {}
+        self.most = most
+
+    def get(self, key):
+        found = self.now.get(key)
+        return self.old.get(key) if found is None else found
+
+    def put(self, key, value) -> None:
+        self.now[key] = value
+        self.turn()
+
+    def turn(self) -> None:
+        if len(self.now) >= self.most:
+            self.now, self.old = {}, self.now

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import map_documents, raw_texts, scratch_path
+from .support import Memory, map_documents, raw_texts, scratch_path
 
 END_ID = 1
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 1000
@@ -46,7 +46,7 @@ class WordEncoder:
         spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         #: How the model spells bytes.
         self.spelling = {ord(c): "".join(p for p, _ in spell(c)) for c in map(chr, [*range(33, 127), *range(192, 256)])}
-        self.words, self.pieces = Memory(), Memory()
+        self.words, self.pieces = Memory(REMEMBERED), Memory(REMEMBERED)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -80,27 +80,6 @@ class WordEncoder:
         return out
 
 
-class Memory:
-    """What was learned lately: a full generation becomes the old one, which is asked before learning anew."""
-
-    def __init__(self, most: int = REMEMBERED):
-        self.now: dict = {}
-        self.old: dict = {}
-        self.most = most
-
-    def get(self, key):
-        found = self.now.get(key)
-        return self.old.get(key) if found is None else found
-
-    def put(self, key, value) -> None:
-        self.now[key] = value
-        self.turn()
-
-    def turn(self) -> None:
-        if len(self.now) >= self.most:
-            self.now, self.old = {}, self.now
-
-
 _encoders: dict[int, WordEncoder] = {}
 
 

@@ -52,6 +52,8 @@ def test_heap_merge_equals_repeated_scan():
 def test_round_trip_and_ids(spark, reference):
     docs = spark.createDataFrame([(i, t, "extra") for i, t in enumerate(TEXTS)], "doc_id long, text string, ids string")
     encoded = byte_bpe.encode(docs, PATH, P.PATTERN)
+    together = {r.doc_id: (r.ids, r.decoded) for r in byte_bpe.encode(docs, PATH, P.PATTERN, decoded=True).collect()}
+    assert together == {r.doc_id: (r.ids, r.decoded) for r in byte_bpe.decode(encoded, PATH).collect()}
     rows = {r.doc_id: r for r in byte_bpe.decode(encoded, PATH).collect()}
     assert len(rows) == len(TEXTS)
     for i, text in enumerate(TEXTS):
@@ -79,3 +81,12 @@ def test_query_has_the_digests(spark, reference):
         assert got[i].n_tokens == len(ids)
         assert got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+
+
+def test_forgetting_changes_nothing(reference, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 7)
+    codec = byte_bpe.Codec(byte_bpe.PerfectHash(byte_bpe.read_ranks(PATH)), P.PATTERN)
+    rng = random.Random(1)
+    for _ in range(60):
+        text = " ".join("".join(rng.choices("abcdé", k=rng.randint(1, 5))) for _ in range(30))
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == reference.encode_ordinary(text)
