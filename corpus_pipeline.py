@@ -37,8 +37,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with digests of the ids and of what they decode to."""
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.encode(docs, vocabulary, public_tokenizers.PATTERN)
-    return byte_bpe.decode(encoded, vocabulary).select(
+    return byte_bpe.encode(docs, vocabulary, public_tokenizers.PATTERN, decoded=True).select(
         "doc_id",
         "n_tokens",
         "ids",
