@@ -4,8 +4,14 @@ Equal vectors of a label become one point with a count. The points of each label
 each to the cluster of its nearest centre and to all whose centre is nearly as near. A graph is built per cluster shard
 (nearest neighbours, robustly pruned, with reverse edges), the adjacency lists of a point's shards are united, and each
 shard searches its own points: a greedy beam from the shard's medoid and the point itself, then a range expansion that
-follows every node near the threshold. Found pairs are verified in double precision. Recall is audited on a bounded
-sample against all rows, and the overlap is widened if it is too low.
+follows every node near the threshold. Found pairs are verified in double precision.
+
+Within a shard no link is lost. A node is marked as cut where its candidate list or its degree may leave out a point at
+or over the threshold. From a node without mark, each such point is a neighbour, or a neighbour is nearer to it by the
+factor ALPHA; so the range expansion reaches all of them, if it meets no cut node. A point whose search meets one is
+compared with its whole shard, in blocks, and so is every point of a shard above LEAF. Links between shards that do not
+overlap are audited on a bounded sample against all rows; if too many are missing, points are dealt anew, each to all
+clusters that may hold a point linked to it.
 """
 
 from __future__ import annotations
@@ -28,8 +34,12 @@ SHARD, MOST_CENTRES = 2048, 4096
 FITTED = 20_000
 #: Nearness to the nearest centre, in cosine, within which a point joins other clusters too.
 MARGIN = 0.15
-DEGREE, NEAREST, ALPHA, LEAF = 24, 48, 1.2, 2048
+DEGREE, NEAREST, ALPHA, LEAF = 24, 48, 1.5, 8192
 BEAM, SLACK = 32, 0.08
+#: Points at a smaller squared distance are never pruned for one another, as no step between them gets nearer to a third.
+TINY = 1e-9
+#: Cosine below the threshold down to which pairs are verified in double precision.
+ROUNDING = 1e-4
 #: Searches by one task.
 SEARCHES = 4096
 #: Audited points and the least recall.
@@ -55,18 +65,22 @@ def robust_prune(x: np.ndarray, owners: np.ndarray, near: np.ndarray, degree: in
         pick = np.where(some, near[rows, first], -1)
         kept[:, place] = pick
         between = 2 - 2 * np.einsum("ij,ikj->ik", x[np.maximum(pick, 0)], x[np.maximum(near, 0)])
-        alive &= ~some[:, None] | (alpha * alpha * np.maximum(between, 0) > to_owner)
+        alive &= ~some[:, None] | (alpha * alpha * np.maximum(between, TINY) > to_owner)
         alive[rows, first] = False
     return kept
 
 
-def _edges(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pruned edges (from, to) among the points of one leaf, with their reverses."""
+def flat_graph(x: np.ndarray, leaf: int = LEAF, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (from, to) with their reverses over unit vectors, and whether each node is cut; no edges above ``leaf`` points.
+
+    A node is cut if points at or over the threshold may be neither among its candidates nor covered by what was kept.
+    """
     n = len(x)
     take = min(NEAREST, n - 1)
-    if take < 1:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    out = []
+    none = np.empty(0, np.int64)
+    if n > leaf or take < 1:
+        return none, none, np.full(n, n > leaf)
+    out, cut = [], np.zeros(n, bool)
     for at in range(0, n, 256):
         owners = np.arange(at, min(n, at + 256))
         sims = x[owners] @ x.T
@@ -76,39 +90,18 @@ def _edges(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         kept = robust_prune(x, owners, near)
         row, place = np.nonzero(kept >= 0)
         out.append((owners[row], kept[row, place]))
+        last = np.where(kept[:, -1] >= 0, sims[np.arange(len(owners)), kept[:, -1]], -np.inf)
+        cut[owners] = ((sims >= threshold - ROUNDING).sum(axis=1) > take) | (last >= threshold - ROUNDING)
     a, b = (np.concatenate(c) for c in zip(*out))
-    return np.concatenate([a, b]), np.concatenate([b, a])
-
-
-def flat_graph(x: np.ndarray, leaf: int = LEAF, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (from, to) over unit vectors; above ``leaf`` points, built on overlapping parts and united."""
-    n = len(x)
-    if n <= leaf:
-        return _edges(x)
-    rng = np.random.default_rng(seed)
-    pivots = x[rng.choice(n, 2 * math.ceil(n / leaf), replace=False)]
-    nearest = np.concatenate([np.argpartition(-(x[i : i + 4096] @ pivots.T), 1, axis=1)[:, :2] for i in range(0, n, 4096)])
-    parts = []
-    for p in range(len(pivots)):
-        members = np.flatnonzero((nearest == p).any(axis=1))
-        if len(members) < n:
-            a, b = flat_graph(x[members], leaf, seed + 1 + p) if len(members) > 1 else _edges(x[:1])
-        else:  # pivots that can't tell the points apart
-            half = rng.permutation(n)
-            a, b = (np.concatenate(c) for c in zip(*[(m[e[0]], m[e[1]]) for m in (half[: leaf], half[leaf // 2 : leaf // 2 + leaf]) for e in [_edges(x[m])]]))
-            members = np.arange(n)
-        parts.append((members[a], members[b]))
-    a, b = (np.concatenate(c) for c in zip(*parts))
-    pairs = np.unique(a * n + b)
-    return pairs // n, pairs % n
+    return np.concatenate([a, b]), np.concatenate([b, a]), cut
 
 
 class Graph:
-    """Vectors and neighbour lists of one shard; finds what lies within a cosine of given points."""
+    """Vectors, neighbour lists and cut nodes of one shard; finds what lies within a cosine of given points."""
 
-    def __init__(self, x: np.ndarray, a: np.ndarray, b: np.ndarray):
+    def __init__(self, x: np.ndarray, a: np.ndarray, b: np.ndarray, cut: np.ndarray):
         order = np.argsort(a, kind="stable")
-        self.x, self.low = x, x.astype(np.float32)
+        self.x, self.low, self.cut = x, x.astype(np.float32), cut
         self.to, self.first = b[order], np.searchsorted(a[order], np.arange(len(x) + 1))
         self.medoid = int(np.argmax(x @ x.mean(axis=0))) if len(x) else 0
 
@@ -118,13 +111,27 @@ class Graph:
         return np.repeat(row, width), self.to[np.repeat(self.first[node], width) + offset]
 
     def search(self, queries: np.ndarray, threshold: float, beam: int = BEAM, slack: float = SLACK):
-        """Pieces of (query, node) pairs of different points with cosine at or over the threshold."""
+        """Pieces of (query, node) pairs of different points with cosine at or over the threshold: all there are."""
         n = len(self.x)
         block = max(8, min(512, 8_000_000 // max(1, n)))
-        for at in range(0, len(queries), block):
-            yield from self._block(queries[at : at + block], threshold, beam, slack)
+        # a path to a point at distance r stays within (1 + 1 / ALPHA ** 2) * r of the query
+        slack = max(slack, (1 - threshold) * ((1 + ALPHA**-2) ** 2 - 1) + 1e-3)
+        cut = self.cut[queries]
+        for part in (queries[~cut], queries[cut]):
+            for at in range(0, len(part), block):
+                own = part[at : at + block]
+                sims = self.low[own] @ self.low.T if self.cut[own[0]] else self._walk(own, threshold, beam, slack)
+                yield from self._verified(own, sims, threshold)
+
+    def _verified(self, queries: np.ndarray, sims: np.ndarray, threshold: float):
+        row, node = np.nonzero(sims >= threshold - ROUNDING)
+        for i in range(0, len(row), 1 << 17):
+            a, b = queries[row[i : i + (1 << 17)]], node[i : i + (1 << 17)]
+            near = (np.einsum("ij,ij->i", self.x[a], self.x[b]) >= threshold) & (a != b)
+            yield a[near], b[near]
 
-    def _block(self, queries: np.ndarray, threshold: float, beam: int, slack: float):
+    def _walk(self, queries: np.ndarray, threshold: float, beam: int, slack: float) -> np.ndarray:
+        """Cosines of the nodes seen from each query, of all nodes where a cut one is met; -2 elsewhere."""
         n, m = len(self.x), len(queries)
         sims = np.full((m, n), -2, np.float32)  # -2: not seen
         opened = np.zeros((m, n), bool)
@@ -173,11 +180,10 @@ class Graph:
             row, node = new // n, new % n
             shut = ~opened[row, node]
             row, node = row[shut], node[shut]
-        row, node = np.nonzero(sims >= threshold - 1e-4)
-        for i in range(0, len(row), 1 << 17):
-            a, b = queries[row[i : i + (1 << 17)]], node[i : i + (1 << 17)]
-            near = (np.einsum("ij,ij->i", self.x[a], self.x[b]) >= threshold) & (a != b)
-            yield a[near], b[near]
+        unsure = np.flatnonzero(((sims >= threshold - slack) & self.cut).any(axis=1))
+        if len(unsure):
+            sims[unsure] = self.low[queries[unsure]] @ self.low.T
+        return sims
 
 
 def _unit(vectors: list) -> np.ndarray:
@@ -235,8 +241,14 @@ def _centres(found: DataFrame, shard: int) -> dict:
     return fitted
 
 
-def _link(found: DataFrame, threshold: float, margin: float, shard: int, searches: int) -> DataFrame:
-    """(point, links, root): per searched point the rows it links to, and edges (point, root) with links null."""
+def _link(found: DataFrame, threshold: float, margin: float | None, shard: int, searches: int) -> DataFrame:
+    """(point, links, pairs, root): per searched point the rows and other points it links to, and edges (point, root)
+    with links null.
+
+    Without a margin a point joins every cluster that is the nearest of any vector linked to it, so no link is lost:
+    vectors at cosine t are sqrt(2 - 2 t) apart, so that much moves the difference of two centres' products at most.
+    """
+    apart = math.sqrt(max(0.0, 2 - 2 * threshold))
     kind = found.schema["label"].dataType.simpleString()
     centres = found.sparkSession.sparkContext.broadcast(_centres(found, shard))
 
@@ -250,7 +262,8 @@ def _link(found: DataFrame, threshold: float, margin: float, shard: int, searche
                     continue
                 near = own @ _unit([vector])[0]
                 best = int(np.argmax(near))
-                rows += [(label, len(vector), int(c), point, n, vector, int(c) == best) for c in np.flatnonzero(near >= near[best] - margin)]
+                reach = margin if margin is not None else apart * np.linalg.norm(own - own[best], axis=1) + TINY
+                rows += [(label, len(vector), int(c), point, n, vector, int(c) == best) for c in np.flatnonzero(near >= near[best] - reach)]
             columns = list(zip(*rows)) or [[]] * 7
             kinds = [batch.column(0).type, pa.int32(), pa.int32(), pa.int64(), pa.int64(), batch.column(1).type, pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
@@ -265,17 +278,17 @@ def _link(found: DataFrame, threshold: float, margin: float, shard: int, searche
 
     def build(table: pa.Table) -> pa.Table:
         point = table.column("point").to_numpy()
-        a, b = flat_graph(_unit(table.column("vector").to_pylist()))
+        a, b, cut = flat_graph(_unit(table.column("vector").to_pylist()), threshold=threshold)
         ends = np.searchsorted(np.sort(a), np.arange(len(point) + 1))
         b = point[b[np.argsort(a, kind="stable")]]
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(b))
-        return pa.table({"point": pa.array(point), "near": lists})
+        return pa.table({"point": pa.array(point), "near": lists, "cut": pa.array(cut)})
 
     adjacency = (
         dealt.groupBy("label", "width", "cell")
-        .applyInArrow(build, "point long, near array<long>")
+        .applyInArrow(build, "point long, near array<long>, cut boolean")
         .groupBy("point")
-        .agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # bounded: a list per shard of the point
+        .agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.max("cut").alias("cut"))  # bounded: a list per shard of the point
     )
     parts = dealt.groupBy("label", "width", "cell").agg(F.ceil(F.sum(F.col("own").cast("int")) / F.lit(searches)).cast("int").alias("parts"))
     ready = (
@@ -283,7 +296,7 @@ def _link(found: DataFrame, threshold: float, margin: float, shard: int, searche
         .join(parts.where("parts > 0"), ["label", "width", "cell"])
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("search", F.col("own") & (F.pmod(F.xxhash64("point"), F.col("parts")) == F.col("part")))
-        .select("label", "width", "cell", "part", "point", "n", "vector", "near", "search")
+        .select("label", "width", "cell", "part", "point", "n", "vector", "near", "cut", "search")
     )
 
     def search(table: pa.Table) -> pa.Table:
@@ -296,19 +309,22 @@ def _link(found: DataFrame, threshold: float, margin: float, shard: int, searche
         b = np.searchsorted(point, to)
         inside = (b < len(point)) & (point[np.minimum(b, len(point) - 1)] == to)
         queries = np.flatnonzero(table.column("search").to_numpy(zero_copy_only=False)[order])
-        links, labels = count - 1, np.arange(len(point))
-        for q, node in Graph(x, a[inside], b[inside]).search(queries, threshold):
+        cut = table.column("cut").to_numpy(zero_copy_only=False)[order]
+        links, pairs, labels = count - 1, np.zeros(len(point), np.int64), np.arange(len(point))
+        for q, node in Graph(x, a[inside], b[inside], cut).search(queries, threshold):
             links = links + np.bincount(q, count[node], len(point)).astype(np.int64)
+            pairs += np.bincount(q, minlength=len(point))
             merge_labels(labels, q, node)
         tied = np.flatnonzero(labels != np.arange(len(point)))
         none = np.concatenate([np.zeros(len(queries), bool), np.ones(len(tied), bool)])
         return pa.table({
             "point": pa.array(np.concatenate([point[queries], point[tied]])),
             "links": pa.array(np.concatenate([links[queries], np.zeros(len(tied), np.int64)]), mask=none),
+            "pairs": pa.array(np.concatenate([pairs[queries], np.zeros(len(tied), np.int64)]), mask=none),
             "root": pa.array(np.concatenate([point[queries], point[labels[tied]]])),
         })
 
-    return ready.groupBy("label", "width", "cell", "part").applyInArrow(search, "point long, links long, root long")
+    return ready.groupBy("label", "width", "cell", "part").applyInArrow(search, "point long, links long, pairs long, root long")
 
 
 def audit(found: DataFrame, linked: DataFrame, threshold: float = THRESHOLD, audited: int = AUDITED) -> float:
@@ -367,14 +383,11 @@ def near_duplicates(
     searched once; rows with one id count as several. An empty table gives no row; extra columns are ignored.
     """
     found = materialize(points(vectors, id_col, vector_col, label_col), "points")
-    for _ in range(4):
-        linked = materialize(_link(found, threshold, margin, shard, searches), "links")
+    for reach in (margin, None):
+        linked = materialize(_link(found, threshold, reach, shard, searches), "links")
         counts = linked.where("links is not null").select("point", "links")
-        if audit(found, counts, threshold) >= LEAST_RECALL:
+        if reach is None or audit(found, counts, threshold) >= LEAST_RECALL:
             break
-        margin *= 2
-    else:
-        raise RuntimeError("the graph misses too many links")
     nodes = connected_components(linked.where("links is null").select("point", "root"))
     named = (
         found.join(counts, "point")

@@ -85,3 +85,44 @@ def test_audit_sees_missing_links(spark):
 
 def test_empty(spark):
     assert g.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def tight_groups(spread=0.012, dim=32, seed=5):
+    """Nine pairs of groups of 100 points with cosines of at least 0.94 across a pair, and 200 points without links."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(9):
+        axis, off = np.linalg.qr(rng.normal(size=(dim, 2)))[0].T
+        for side in (axis, axis + 0.3 * off):
+            out.append(side / np.linalg.norm(side) + spread * rng.normal(size=(100, dim)))
+    return np.concatenate([*out, rng.normal(size=(200, dim))])
+
+
+def test_links_between_tight_groups_are_found(spark):
+    x = np.array(tight_groups(), np.float32)
+    unit = g._unit(x.tolist())
+    near = unit @ unit.T >= g.THRESHOLD
+    assert near[0, 100:200].any() and near[:100, 100:200].mean() > 0.5
+    rows = [(i, 0, v.tolist(), "x") for i, v in enumerate(x)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in g.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[i][0] for i in range(len(x))] == (near.sum(1) - 1).tolist()
+    assert [got[i][1] for i in range(1800)] == [i // 200 * 200 for i in range(1800)]
+
+
+@pytest.mark.parametrize("leaf", [8192, 100])
+def test_search_loses_nothing_in_a_shard(leaf):
+    rng = np.random.default_rng(8)
+    x = g._unit(np.concatenate([tight_groups(), *[c + s * rng.normal(size=(n, 32)) for c, s, n in zip(rng.normal(size=(60, 32)), rng.uniform(0.01, 0.4, 60), rng.integers(2, 60, 60))]]).tolist())
+    x[:7] = x[0]  # equal directions
+    near = x @ x.T >= g.THRESHOLD
+    np.fill_diagonal(near, False)
+    pieces = list(g.Graph(x, *g.flat_graph(x, leaf=leaf)).search(np.arange(len(x)), g.THRESHOLD))
+    a, b = (np.concatenate(c) for c in zip(*pieces))
+    assert len(a) == near.sum() and near[a, b].all()
+
+
+def test_failed_audit_deals_anew_and_finds_every_link(spark, monkeypatch):
+    monkeypatch.setattr(g, "LEAST_RECALL", 1.1)
+    rows = some_rows()
+    got = g.near_duplicates(spark.createDataFrame(rows, SCHEMA), shard=15, margin=0.0).collect()
+    assert sorted([tuple(r) for r in got], key=repr) == slow(rows, g.THRESHOLD)
