@@ -51,8 +51,15 @@ PATTERNS = [
     ("mixed", r"(?<![A-Za-z0-9/+_.-])(?P<v>(?=[A-Za-z/+_-]{0,24}[0-9])[A-Za-z0-9/+_-]{24,}={0,2})(?![A-Za-z0-9/+_-])"),
 ]
 _COMPILED = [(kind, re.compile(p)) for kind, p in PATTERNS]
-#: Something that every candidate but for rare prefixes holds; texts without it are passed over quickly.
-_HINT = re.compile(r"[A-Za-z0-9/+_-]{16}|[=:]\s{0,3}[\"']?[^\s\"']{8}|-----BEGIN ")
+#: For each pattern a part of it that every match holds; texts without any are passed over quickly.
+HINTS = {
+    "private_key": r"-----BEGIN ",
+    "slack_token": r"xox[abprs]-",
+    "jwt": r"eyJ[A-Za-z0-9_-]{10}",
+    **dict.fromkeys(["assigned", "bare_assigned"], r"(?:=>|=|:)\s{0,3}[\"']?[^\s\"']{8}"),
+    **dict.fromkeys(["aws_key_id", "github_token", "gitlab_token", "stripe_key", "google_key", "hex", "mixed"], r"[A-Za-z0-9/+_-]{16}"),
+}
+_HINT = re.compile("|".join(dict.fromkeys(HINTS[kind] for kind, _ in PATTERNS)))
 
 #: Words by which a candidate's letters are covered, and words that speak for or against a secret nearby.
 DICTIONARY = """

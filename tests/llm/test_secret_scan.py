@@ -75,3 +75,30 @@ def test_query_finds_every_planted_key(spark):
     for i, t in texts.items():
         want = len(re.findall(r'(?i)token = "[0-9a-f]{40}"', t))
         assert got[i].n_secrets == want
+
+
+def test_short_quoted_values_after_arrows_and_provider_prefixes_are_candidates():
+    for text, kind in [
+        ("'password' => 'S3cr3t!pass9'", "assigned"), ('token => "aB3$kk91!zQ"', "assigned"), ("auth_token => 'aB3kk91zQp0L7w2'", "assigned"),
+        ("auth =>\n 'S3cr3t!p'", "assigned"), ('token := "aB3$kk91"', "assigned"), ("pwd => abcdefg1", "bare_assigned"),
+        ("xoxb-1234567890", "slack_token"), ("eyJabcdefghij.abcdefghij.abcdefghij", "jwt"),
+    ]:
+        for t in (text, f"plain prose {text} and more"):
+            assert [c.kind for c in s.candidates(t)] == [kind], t
+
+
+def test_no_text_with_a_match_is_passed_over():
+    rng = np.random.default_rng(3)
+    parts = [
+        "token", "Secret", "PASSWD", "pwd", "api-key", "auth", "private_key", "_id", "'", '"', " ", "\n", " ", "=>", ":=", "=", ":", "AKIA", "ASIA",
+        "ghp_", "glpat-", "xoxp-", "sk_live_", "rk_test_", "AIza", "eyJ", ".", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "-----END", "!", "$9é", "a1B2",
+        "S3cr3t!p", "0123456789", "ABCDEF0123", "abcdefghij", "deadbeefdeadbeef", "ABCDEFGHIJKLMNOP", "a-b_c/d+", "==",
+    ]
+    matched = set()
+    for _ in range(150_000):
+        text = "".join(rng.choice(parts, rng.integers(1, 9)))
+        kinds = {kind for kind, p in s._COMPILED if p.search(text)}
+        matched |= kinds
+        assert not kinds or s._HINT.search(text), (kinds, text)
+        assert all(re.search(s.HINTS[k], text) for k in kinds), (kinds, text)
+    assert {"private_key", "aws_key_id", "gitlab_token", "slack_token", "stripe_key", "assigned", "bare_assigned", "hex", "mixed"} <= matched
