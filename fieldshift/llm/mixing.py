@@ -1,13 +1,18 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts are summed per cell of source, language and topic; the cells are raked until their marginals meet the
-targets; a document is then kept with a probability that follows from its cell's weight, so that the expected tokens
-per source, language and topic have the target shares. Only sums per cell are gathered, never documents.
+targets; a document is then kept with a probability that follows from its cell's weight. Where a cell would need more
+than it holds, it is kept whole and the other cells are raked again around it, so that the expected tokens per source,
+language and topic have the target shares. A value whose tokens do not make up its target even if all are kept is kept
+whole, the other values of its dimension share the rest in the proportions of their targets, and the shortfall is
+logged; :func:`shares` gives all targets beside what is expected. Only sums per cell are gathered, never documents.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -25,6 +30,12 @@ SEED = 17
 ROUNDS, TOLERANCE = 60, 1e-9
 #: With no more cells than this, rounds run on the driver over arrays, else as grouped sums in the cluster.
 MOST_LOCAL_CELLS = 200_000
+#: Bound of what calibration multiplies a probability by before it is cut at 1; shares that miss a target by more are logged.
+MOST_FACTOR, LOGGED = 1e9, 1e-6
+#: From here a cell counts as whole, so that sums in another order don't decide what is fixed.
+WHOLE = 1 - 1e-9
+
+log = logging.getLogger(__name__)
 
 Targets = Mapping[str, Mapping[str | None, float]]
 
@@ -91,7 +102,46 @@ def _rake_locally(rows: list, targets: Targets, fraction: float) -> tuple[np.nda
         if worst < TOLERANCE:
             break
     weight = np.divide(mass * total, tokens, out=np.zeros_like(mass), where=tokens > 0)
-    return weight, _probabilities(weight, tokens, fraction * total)
+    p = _calibrate(weight, tokens, dims, fraction * total)
+    if p @ tokens:
+        for d, (index, want) in zip(DIMENSIONS, dims):
+            expected = np.bincount(index, p * tokens, len(want)) / (p @ tokens)
+            names = {i: r[d] for i, r in zip(index.tolist(), rows)}
+            _tell([(d, names[i], want[i], expected[i]) for i in np.flatnonzero(want - expected > LOGGED)])
+    return weight, p
+
+
+def _tell(short: list) -> None:
+    for d, value, want, expected in short:
+        log.warning("%s %r: %.4f of the sample expected, target %.4f: its tokens do not suffice", d, value, expected, want)
+
+
+def _calibrate(weight: np.ndarray, tokens: np.ndarray, dims: list, budget: float) -> np.ndarray:
+    """min(1, weight times a factor per source, language and topic) with the targets' marginals, as far as tokens go."""
+    now = weight * _scale(weight, tokens, budget)
+    goals = []
+    for index, want in dims:
+        held = np.bincount(index, np.where(weight > 0, tokens, 0.0), len(want))
+        goals.append(held * _probabilities(np.divide(want, held, out=np.zeros_like(want), where=held > 0), held, budget))
+    for _ in range(ROUNDS):
+        worst = 0.0
+        for (index, _), goal in zip(dims, goals):
+            full = np.bincount(index, np.where(now >= WHOLE, tokens, 0.0), len(goal))
+            free = np.bincount(index, np.where(now < WHOLE, now * tokens, 0.0), len(goal))
+            have = full + free
+            worst = max(worst, float(np.abs(have - goal).max(initial=0)) / budget if budget else 0.0)
+            # with the full cells fixed if the free ones can do it, else all of them
+            alone = (goal > full) & (free > 0)
+            factor = np.divide(np.where(alone, goal - full, goal), np.where(alone, free, have), out=np.zeros_like(goal), where=have > 0)
+            now = np.minimum(now * factor[index], MOST_FACTOR)
+        if worst < TOLERANCE:
+            break
+    return _probabilities(now, tokens, budget)
+
+
+def _scale(weight: np.ndarray, tokens: np.ndarray, budget: float) -> float:
+    free = weight @ tokens
+    return budget / free if free > 0 else 0.0
 
 
 def _probabilities(weight: np.ndarray, tokens: np.ndarray, budget: float) -> np.ndarray:
@@ -108,11 +158,9 @@ def _probabilities(weight: np.ndarray, tokens: np.ndarray, budget: float) -> np.
     return np.where(full, 1.0, np.minimum(1.0, np.maximum(0.0, scale * weight)))
 
 
-def _rake_in_cluster(cells: DataFrame, targets: Targets, fraction: float) -> DataFrame:
-    """The same rounds as grouped sums and joins, each round written to the shared folder."""
+def _wants(cells: DataFrame, targets: Targets) -> dict[str, DataFrame]:
+    """Per dimension (v, want): the target share of each value that has tokens."""
     spark = cells.sparkSession
-    total = cells.agg(F.sum("tokens")).first()[0] or 0.0
-    now = materialize(cells.withColumn("mass", F.col("tokens") / F.lit(total or 1.0)), "raking")
     wants = {}
     for d in DIMENSIONS:
         sums = cells.groupBy(d).agg(F.sum("tokens").alias("m")).where("m > 0")
@@ -123,6 +171,72 @@ def _rake_in_cluster(cells: DataFrame, targets: Targets, fraction: float) -> Dat
             sums = sums.select(d, F.pow("m", F.lit(TEMPER[d])).alias("want"))
         whole = sums.agg(F.sum("want")).first()[0] or 1.0
         wants[d] = materialize(sums.select(F.col(d).alias("v"), (F.col("want") / F.lit(whole)).alias("want")), "targets")
+    return wants
+
+
+def _scale_in_cluster(table: DataFrame, budget: float) -> float:
+    """c by which the tokens times min(1, c * weight) of ``table`` (tokens, weight) sum to the budget, if it holds as many."""
+    scale = None
+    for _ in range(100):
+        over = F.lit(False) if scale is None else F.col("weight") * F.lit(scale) >= 1
+        full, free = table.agg(F.sum(F.when(over, F.col("tokens"))), F.sum(F.when(~over, F.col("tokens") * F.col("weight")))).first()
+        fresh = (budget - (full or 0.0)) / free if free else 0.0
+        if scale is not None and fresh <= scale:
+            break
+        scale = fresh
+    return scale or 0.0
+
+
+def _calibrate_in_cluster(weighted: DataFrame, wants: dict[str, DataFrame], budget: float) -> DataFrame:
+    """``weighted`` (source, lang, topic, tokens, weight) with what :func:`_calibrate` computes as probability."""
+    cut = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    sums = weighted.agg(F.sum(F.col("weight") * F.col("tokens"))).first()[0]
+    now = materialize(weighted.withColumn("now", F.col("weight") * F.lit(budget / sums if sums else 0.0)), "calibrating")
+    goals = {}
+    for d in DIMENSIONS:
+        held = weighted.groupBy(d).agg(F.sum(F.when(F.col("weight") > 0, F.col("tokens")).otherwise(0.0)).alias("tokens")).withColumnRenamed(d, "v")
+        table = materialize(
+            held.alias("h").join(wants[d].alias("w"), F.col("h.v").eqNullSafe(F.col("w.v")), "left").select(
+                F.col("h.v").alias("v"),
+                "tokens",
+                F.coalesce(F.when(F.col("tokens") > 0, F.col("want") / F.nullif("tokens", F.lit(0.0))), F.lit(0.0)).alias("weight"),
+            ),
+            "goals",
+        )
+        goals[d] = table.select("v", (F.col("tokens") * cut(F.col("weight") * F.lit(_scale_in_cluster(table, budget)))).alias("goal"))
+    free, full, goal = F.col("free"), F.col("full"), F.col("goal")
+    for _ in range(ROUNDS):
+        worst, before = 0.0, now
+        for d in DIMENSIONS:
+            have = now.groupBy(d).agg(
+                F.sum(F.when(F.col("now") >= WHOLE, F.col("tokens")).otherwise(0.0)).alias("full"),
+                F.sum(F.when(F.col("now") < WHOLE, F.col("tokens") * F.col("now")).otherwise(0.0)).alias("free"),
+            )
+            alone = (goal > full) & (free > 0)
+            factor = F.when(alone, (goal - full) / F.nullif(free, F.lit(0.0))).when(full + free > 0, goal / F.nullif(full + free, F.lit(0.0)))
+            both = materialize(
+                have.withColumnRenamed(d, "v").alias("h").join(goals[d].alias("g"), F.col("h.v").eqNullSafe(F.col("g.v"))).select(
+                    F.col("h.v").alias("v"), F.coalesce(factor, F.lit(0.0)).alias("factor"), F.abs(full + free - goal).alias("off")
+                ),
+                "factors",
+            )
+            worst = max(worst, (both.agg(F.max("off")).first()[0] or 0.0) / budget if budget else 0.0)
+            now = now.join(both, now[d].eqNullSafe(both.v)).select(
+                *DIMENSIONS, "tokens", "weight", F.least(F.col("now") * F.col("factor"), F.lit(MOST_FACTOR)).alias("now")
+            )
+        now = materialize(now, "calibrating")
+        discard(before)
+        if worst < TOLERANCE:
+            break
+    scale = _scale_in_cluster(now.select("tokens", F.col("now").alias("weight")), budget)
+    return now.select(*DIMENSIONS, "tokens", "weight", cut(F.col("now") * F.lit(scale)).alias("probability"))
+
+
+def _rake_in_cluster(cells: DataFrame, targets: Targets, fraction: float) -> DataFrame:
+    """The same rounds as grouped sums and joins, each round written to the shared folder."""
+    total = cells.agg(F.sum("tokens")).first()[0] or 0.0
+    now = materialize(cells.withColumn("mass", F.col("tokens") / F.lit(total or 1.0)), "raking")
+    wants = _wants(cells, targets)
     for _ in range(ROUNDS):
         worst, before = 0.0, now
         for d in DIMENSIONS:
@@ -143,23 +257,35 @@ def _rake_in_cluster(cells: DataFrame, targets: Targets, fraction: float) -> Dat
     weighted = now.select(
         *DIMENSIONS, "tokens", F.when(F.col("tokens") > 0, F.col("mass") * total / F.nullif("tokens", F.lit(0.0))).otherwise(0.0).alias("weight")
     )
-    scale, budget = None, fraction * total
-    for _ in range(100):
-        over = F.lit(False) if scale is None else F.col("weight") * F.lit(scale) >= 1
-        full, free = weighted.agg(F.sum(F.when(over, F.col("tokens"))), F.sum(F.when(~over, F.col("tokens") * F.col("weight")))).first()
-        fresh = (budget - (full or 0.0)) / free if free else 0.0
-        if scale is not None and fresh <= scale:
-            break
-        scale = fresh
-    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("weight") * F.lit(scale or 0.0)))
-    return weighted.select(*DIMENSIONS, "weight", p.alias("probability"))
+    found = materialize(_calibrate_in_cluster(materialize(weighted, "weighted"), wants, fraction * total), "weights")
+    short = _compare(found, wants).where(F.col("target") - F.col("expected") > LOGGED)
+    _tell([tuple(r) for r in short.orderBy(F.col("expected") - F.col("target")).limit(100).collect()])
+    return found.select(*DIMENSIONS, "weight", "probability")
+
+
+def _compare(found: DataFrame, wants: dict[str, DataFrame]) -> DataFrame:
+    whole = found.agg(F.sum(F.col("tokens") * F.col("probability"))).first()[0] or 1.0
+    parts = []
+    for d in DIMENSIONS:
+        have = found.groupBy(F.col(d).alias("v")).agg((F.sum(F.col("tokens") * F.col("probability")) / F.lit(whole)).alias("expected"))
+        both = have.alias("h").join(wants[d].alias("w"), F.col("h.v").eqNullSafe(F.col("w.v")), "left")
+        parts.append(both.select(F.lit(d).alias("dimension"), F.col("h.v").cast("string").alias("value"), F.coalesce("want", F.lit(0.0)).alias("target"), "expected"))
+    return reduce(DataFrame.union, parts)
+
+
+def shares(cells: DataFrame, table: DataFrame, targets: Targets | None = None) -> DataFrame:
+    """(dimension, value, target, expected): shares of the sample that :func:`weights` gives ``table`` for ``cells``."""
+    same = reduce(lambda a, b: a & b, [cells[d].eqNullSafe(table[d]) for d in DIMENSIONS])
+    found = cells.join(table, same).select(*[cells[d] for d in DIMENSIONS], "tokens", "probability")
+    return _compare(found, _wants(cells, targets or {}))
 
 
 def weights(cells: DataFrame, targets: Targets | None = None, fraction: float = FRACTION) -> DataFrame:
     """(source, lang, topic, weight, probability) per cell; a value that targets don't name has share 0.
 
     The weight is the factor by which raking changes the cell's tokens. Cells that can't supply what their weight asks
-    for are kept whole and the others make up for it, so the sample's expected size holds.
+    for are kept whole and the others are calibrated to the targets around them, so the sample's expected size holds and
+    so do the shares, but where all tokens of a value are fewer than its share; that shortfall is logged.
     """
     targets = targets or {}
     cells = materialize(cells, "cells")

@@ -90,3 +90,55 @@ def test_sample_keeps_the_columns_and_empty(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in mixing.mix(docs).collect() if r.kept}
     empty = docs.limit(0)
     assert mixing.mix(empty).count() == 0 and mixing.sample(empty).count() == 0
+
+
+def attainable(held, want, budget):
+    """Tokens per value: the target's, or all there are, the rest shared by the others in proportion."""
+    whole = set()
+    while True:
+        rest = (budget - sum(held[v] for v in whole)) / sum(w for v, w in want.items() if v not in whole)
+        more = {v for v, w in want.items() if v not in whole and w * rest >= held[v]}
+        if not more:
+            return {v: held[v] if v in whole else w * rest for v, w in want.items()}
+        whole |= more
+
+
+def test_expected_shares_at_the_production_parameters(spark, caplog):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    cells = mixing.cell_sums(mixing.describe(docs)).cache()
+    with caplog.at_level("WARNING", logger=mixing.log.name):
+        table = mixing.weights(cells).cache()
+    p = {(r.source, r.lang, r.topic): r.probability for r in table.collect()}
+    rows = {(r.source, r.lang, r.topic): r.tokens for r in cells.collect()}
+    budget = 0.7 * sum(rows.values())
+    short = set()
+    for at, d in enumerate(mixing.DIMENSIONS):
+        held, got = {}, {}
+        for k, v in rows.items():
+            held[k[at]] = held.get(k[at], 0) + v
+            got[k[at]] = got.get(k[at], 0) + v * p[k]
+        powers = {v: h ** mixing.TEMPER[d] for v, h in held.items()}
+        want = {v: x / sum(powers.values()) for v, x in powers.items()}
+        for v, x in attainable(held, want, budget).items():
+            assert got[v] / budget == pytest.approx(x / budget, abs=1e-7), (d, v)
+            if x < want[v] * budget * (1 - 1e-6):
+                assert got[v] == pytest.approx(held[v])
+                short.add((d, v))
+        reported = {r.value: r for r in mixing.shares(cells, table).where(F.col("dimension") == d).collect()}
+        for v in want:
+            assert reported[v].target == pytest.approx(want[v]) and reported[v].expected == pytest.approx(got[v] / budget)
+    assert short and all(any(f"{d} {v!r}:" in m for m in caplog.messages) for d, v in short)
+
+
+def test_feasible_targets_hold_though_cells_are_kept_whole(spark, monkeypatch):
+    tokens = {("a", "x"): 50, ("a", "y"): 950, ("b", "x"): 900, ("b", "y"): 600}
+    rows = [(s, l, "t", float(n)) for (s, l), n in tokens.items()]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double")
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.45, "y": 0.55}}
+    for most, rounds in ((200_000, 60), (1, 8)):
+        monkeypatch.setattr(mixing, "MOST_LOCAL_CELLS", most)
+        monkeypatch.setattr(mixing, "ROUNDS", rounds)
+        got = {(r.source, r.lang): r.probability * tokens[r.source, r.lang] for r in mixing.weights(cells, targets, 0.6).collect()}
+        assert sum(got.values()) == pytest.approx(1500)
+        assert got["a", "x"] <= 50 and got["a", "x"] + got["a", "y"] == pytest.approx(750, abs=5)
+        assert got["a", "x"] + got["b", "x"] == pytest.approx(675, abs=5)
