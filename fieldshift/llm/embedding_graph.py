@@ -328,17 +328,20 @@ def _link(found: DataFrame, threshold: float, margin: float | None, shard: int,
 
 
 def audit(found: DataFrame, linked: DataFrame, threshold: float = THRESHOLD, audited: int = AUDITED) -> float:
-    """Share of the rows truly linked to a sample of points that ``linked`` (point, links) counts.
+    """Share of the pairs of distinct points truly linked, for a sample of points, that ``linked`` (point, pairs) counts.
 
-    The sample, the points with the smallest hashes, is compared with every point, in blocks where they lie.
+    Copies of a point count nothing, neither its own nor those of others. Where ``linked`` has only links, which count
+    rows, a point's own copies are left out and the share is that of rows. The sample, the points with the smallest
+    hashes, is compared with every point, in blocks where they lie.
     """
     rows = found.orderBy(F.xxhash64("point", F.lit(1))).limit(audited).select("label", "vector", "point", "n").collect()
     if not rows:
         return 1.0
+    by_pairs = "pairs" in linked.columns
     groups: dict = {}
     for r in rows:
         groups.setdefault((r.label, len(r.vector)), []).append(r)
-    ready = {k: (_unit([r.vector for r in v]), [r.point for r in v]) for k, v in groups.items()}
+    ready = {k: (_unit([r.vector for r in v]), np.array([r.point for r in v])) for k, v in groups.items()}
     shared = found.sparkSession.sparkContext.broadcast(ready)
 
     def count(batches):
@@ -351,18 +354,17 @@ def audit(found: DataFrame, linked: DataFrame, threshold: float = THRESHOLD, aud
             for key, own in by_key.items():
                 x, ids = shared.value[key]
                 near = _unit([v for v, _, _ in own]) @ x.T >= threshold
-                n = np.array([c for _, _, c in own])
-                for j, i in enumerate(ids):
-                    true = int(n[near[:, j]].sum())
-                    out.append((i, true))
+                point, n = np.array([p for _, p, _ in own]), np.array([c for _, _, c in own])
+                near &= point[:, None] != ids
+                true = (near * (1 if by_pairs else n[:, None])).sum(axis=0)
+                out += zip(ids.tolist(), true.tolist())
             columns = list(zip(*out)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["point", "true"])
 
-    # a point's own rows are counted on both sides but for itself
     true = found.select("label", "vector", "point", "n").mapInArrow(count, "point long, true long").groupBy("point").agg(F.sum("true").alias("true"))
-    got = true.join(linked, "point", "left").agg(F.sum(F.coalesce("links", F.lit(0)) + 1), F.sum("true")).first()
-    extra = len(rows)
-    return (got[0] - extra) / (got[1] - extra) if got[1] > extra else 1.0
+    counted = linked.select("point", F.col("pairs").alias("got")) if by_pairs else linked.join(found, "point").select("point", (F.col("links") - F.col("n") + 1).alias("got"))
+    got = true.join(counted, "point", "left").agg(F.sum(F.coalesce("got", F.lit(0))), F.sum("true")).first()
+    return got[0] / got[1] if got[1] else 1.0
 
 
 def near_duplicates(
@@ -385,8 +387,8 @@ def near_duplicates(
     found = materialize(points(vectors, id_col, vector_col, label_col), "points")
     for reach in (margin, None):
         linked = materialize(_link(found, threshold, reach, shard, searches), "links")
-        counts = linked.where("links is not null").select("point", "links")
-        if reach is None or audit(found, counts, threshold) >= LEAST_RECALL:
+        counts = linked.where("links is not null").select("point", "links", "pairs")
+        if reach is None or audit(found, counts.drop("links"), threshold) >= LEAST_RECALL:
             break
     nodes = connected_components(linked.where("links is null").select("point", "root"))
     named = (

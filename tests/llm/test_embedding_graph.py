@@ -126,3 +126,15 @@ def test_failed_audit_deals_anew_and_finds_every_link(spark, monkeypatch):
     rows = some_rows()
     got = g.near_duplicates(spark.createDataFrame(rows, SCHEMA), shard=15, margin=0.0).collect()
     assert sorted([tuple(r) for r in got], key=repr) == slow(rows, g.THRESHOLD)
+
+
+def test_audit_leaves_copies_out(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, 0, (np.ones(8) + 0.02 * rng.normal(size=8)).tolist(), "x") for i in range(12)]
+    rows += [(100 + i, 0, rows[0][2], "x") for i in range(3000)] + [(5000 + i, 1, [1.0, 0.0], "x") for i in range(3000)]
+    found = g.points(spark.createDataFrame(rows, SCHEMA)).cache()
+    assert g.audit(found, found.selectExpr("point", "n - 1 as links")) == 0
+    assert g.audit(found, found.selectExpr("point", "n - 1 as links", "cast(0 as long) as pairs")) == 0
+    half = found.selectExpr("point", "n - 1 as links", "cast(if(point < 6, 11, 0) as long) as pairs")
+    assert g.audit(found, half) == 0.5
+    assert g.audit(found, g._link(found, g.THRESHOLD, g.MARGIN, g.SHARD, g.SEARCHES).where("links is not null")) == 1
