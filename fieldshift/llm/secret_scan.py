@@ -48,7 +48,7 @@ PATTERNS = [
         r"(?P<v>[A-Za-z0-9_./+-]{8,}={0,2})",
     ),
     ("hex", r"(?<![A-Za-z0-9])(?P<v>[0-9a-fA-F]{32,})(?![A-Za-z0-9])"),
-    ("mixed", r"(?<![A-Za-z0-9/+_.-])(?P<v>(?=[A-Za-z/+_-]{0,24}[0-9])[A-Za-z0-9/+_-]{24,}={0,2})(?![A-Za-z0-9/+_-])"),
+    ("mixed", r"(?<![A-Za-z0-9/+_.-])(?P<v>(?=[A-Za-z/+_-]*[0-9])[A-Za-z0-9/+_-]{24,}={0,2})(?![A-Za-z0-9/+_-])"),
 ]
 _COMPILED = [(kind, re.compile(p)) for kind, p in PATTERNS]
 #: For each pattern a part of it that every match holds; texts without any are passed over quickly.

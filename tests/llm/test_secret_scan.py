@@ -102,3 +102,9 @@ def test_no_text_with_a_match_is_passed_over():
         assert not kinds or s._HINT.search(text), (kinds, text)
         assert all(re.search(s.HINTS[k], text) for k in kinds), (kinds, text)
     assert {"private_key", "aws_key_id", "gitlab_token", "slack_token", "stripe_key", "assigned", "bare_assigned", "hex", "mixed"} <= matched
+
+
+def test_a_digit_anywhere_makes_a_mixed_candidate():
+    for value in ("aBcDeFgHiJkLmNoPqRsTuVwXyZaBcD7fGhIjKlMn", "Q" * 30 + "x/+" + "z" * 200 + "4", "aB" * 12 + "9", "aB3" + "c" * 21):
+        assert [(c.start, c.end, c.kind) for c in s.candidates(f"key {value} end")] == [(4, 4 + len(value), "mixed")]
+    assert s.candidates("plain " + "gHiJ" * 12 + " text") == []
