@@ -49,24 +49,40 @@ def discard(*tables: DataFrame) -> None:
             hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, so that what Python holds at once is bounded."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, most_bytes: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that what Python holds at once is bounded.
+
+    With ``most_bytes`` a batch of several rows is halved until it takes no more.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+            stack = [batch.slice(at, rows)]
+            while stack:
+                part = stack.pop()
+                if most_bytes is not None and part.num_rows > 1 and part.nbytes > most_bytes:
+                    half = part.num_rows // 2
+                    stack += [part.slice(half), part.slice(0, half)]
+                else:
+                    yield part
 
 
 def map_documents(
-    docs: DataFrame, columns: Sequence[str], schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]]
+    docs: DataFrame,
+    columns: Sequence[str],
+    schema: str,
+    make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]],
+    rows: int = 256,
+    most_bytes: int | None = None,
 ) -> DataFrame:
     """Apply a batch function to the named columns only; other columns, whatever their names, don't reach Python.
 
-    ``make`` runs once per task and returns the function, so costly state is set up on the executor.
+    ``make`` runs once per task and returns the function, so costly state is set up on the executor. A batch has no more
+    than ``rows`` rows and, if it has several, than ``most_bytes`` bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
-        for batch in slices(batches):
+        for batch in slices(batches, rows, most_bytes):
             out = apply(batch)
             if out is not None and out.num_rows:
                 yield out

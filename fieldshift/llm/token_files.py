@@ -12,72 +12,87 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import Memory, map_documents, raw_texts, scratch_path
+from .support import map_documents, scratch_path
 
 END_ID = 1
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 1000
+#: Most documents and bytes of text that are encoded at once.
+ROWS, BYTES = 4096, 8 << 20
 #: Words and word pieces that each of a worker's two generations remembers.
-REMEMBERED = 250_000
+REMEMBERED = 300_000
 
 #: Texts of these characters are in composed form and lower-cased character by character.
 _PLAIN = regex.compile(r"[\x21-\x7e\xc0-\xff]*")
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """A tokenizer's ids of whole texts, word by word, each distinct word or piece of one being encoded once.
 
     It holds for tokenizers that drop white space and merge within pre-tokens only, as the file's own pre-tokenizer
     tells; ``pieces`` is its pattern, by which words of plain characters are cut. Other words go to the library whole.
+    The mapping itself is the younger generation of what is remembered, words and pieces alike.
     """
 
-    def __init__(self, serialized: str, pieces: str):
+    def __init__(self, serialized: str, pieces: str, remembered: int = REMEMBERED):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_str(serialized)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.cut = regex.compile(pieces).findall
         spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         #: How the model spells bytes.
         self.spelling = {ord(c): "".join(p for p, _ in spell(c)) for c in map(chr, [*range(33, 127), *range(192, 256)])}
-        self.words, self.pieces = Memory(REMEMBERED), Memory(REMEMBERED)
+        self.remembered, self.old = remembered, {}
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
         if ids is None:
-            tokens = self.model.tokenize(piece if piece.isascii() else piece.translate(self.spelling))
-            ids = b"".join([t.id.to_bytes(4, "little") for t in tokens])
-            self.pieces.put(piece, ids)
+            ids = self._encode(word)
+        self[word] = ids
         return ids
 
-    def _word(self, word: bytes) -> bytes:
+    def _encode(self, word: bytes) -> bytes:
+        if word.isalpha():  # of ASCII letters
+            low = word.lower()
+            return self._merge(low.decode()) if low == word else self[low]
         text = word.decode()
-        if text.isalpha() and (text.isascii() or _PLAIN.fullmatch(text)):
-            return self._piece(text.lower())
         if "<|" in text or not _PLAIN.fullmatch(text):
-            return self._ids(text)
-        return b"".join(map(self._piece, self.cut(text.lower())))
-
-    def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
-        out = []
-        for text in texts:
-            split = (text or b"").split()
-            known = self.words.now
-            for word in set(split).difference(known):
-                ids = self.words.get(word)
-                known[word] = self._word(word) if ids is None else ids
-            out.append(b"".join(map(known.__getitem__, split)))
-            self.words.turn()
-        return out
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        pieces = self.cut(text.lower())
+        if len(pieces) == 1 and pieces[0] == text:
+            return self._merge(text.translate(self.spelling))
+        return b"".join([self[p.encode()] for p in pieces])
+
+    def _merge(self, spelt: str) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(spelt)])
+
+    def encode_all(self, texts: pa.Array, end_id: int) -> pa.ListArray:
+        """The ids of each text (null: empty) and the end id. Words are looked up once for all texts."""
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        distinct = words.flatten().dictionary_encode()
+        found = list(map(self.__getitem__, distinct.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)))
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // 4
+        known = pa.ListArray.from_arrays(_offsets(ends), pa.array(np.frombuffer(b"".join(found), "<i4")))
+        ids = known.take(distinct.indices)
+        ends = ids.offsets.to_numpy()[words.offsets.to_numpy()[1:]]
+        values = np.insert(ids.values.to_numpy(), ends, end_id)
+        if len(self) >= self.remembered:
+            self.old = dict(self)
+            self.clear()
+        return pa.ListArray.from_arrays(_offsets(ends + np.arange(1, len(ends) + 1)), pa.array(values))
+
+
+def _offsets(ends: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], ends]).astype(np.int32))
 
 
 _encoders: dict[int, WordEncoder] = {}
@@ -116,23 +131,20 @@ def encode_sorted(
 
     def make():
         encoder, part, total = _encoder(shared.value, pattern), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal total
-            ids = [x + end for x in encoder.encode_all(raw_texts(batch.column(1)))]
-            counts = np.array([len(x) // 4 for x in ids], np.int64)
-            ends = np.cumsum(counts)
-            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), "<i4")))
-            parts = pa.array(np.full(len(ids), part, np.int32))
+            lists = encoder.encode_all(batch.column(1), end_id)
+            ends = lists.offsets.to_numpy()[1:].astype(np.int64)
+            counts = np.diff(ends, prepend=0)
+            parts = pa.array(np.full(len(ends), part, np.int32))
             starts = pa.array(total + ends - counts)
             total += int(ends[-1])
             return pa.RecordBatch.from_arrays([parts, starts, batch.column(0), pa.array(counts), lists], list(_FIELDS))
 
         return apply
 
-    return map_documents(ordered, ["doc_id", "text"], ", ".join(f"{n} {t}" for n, t in _FIELDS.items()), make)
+    return map_documents(ordered, ["doc_id", "text"], ", ".join(f"{n} {t}" for n, t in _FIELDS.items()), make, ROWS, BYTES)
 
 
 _FIELDS = {"part": "int", "local_start": "long", "doc_id": "long", "n_tokens": "long", "ids": "array<int>"}
@@ -144,6 +156,7 @@ def write(encoded: DataFrame, path: str, encoding: str = "dictionary") -> None:
         raise ValueError(f"unknown encoding {encoding!r}")
     options = {
         "compression": "zstd",
+        "parquet.compression.codec.zstd.level": "1",
         "parquet.writer.version": "PARQUET_2_0",
         "parquet.enable.dictionary": str(encoding == "dictionary").lower(),
         "parquet.block.size": str(ROW_GROUP_BYTES),
