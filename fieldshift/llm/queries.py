@@ -61,7 +61,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     secrets = F.filter("findings", lambda f: f["secret"])
     place = lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["stop"].cast("string"))
-    return secret_scan.scan(documents(spark, sf_dir)).select(
+    model = secret_scan.default_model(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return secret_scan.scan(documents(spark, sf_dir), model).select(
         "doc_id",
         "n_candidates",
         F.size(secrets).cast("long").alias("n_secrets"),

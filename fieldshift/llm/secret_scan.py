@@ -1,8 +1,10 @@
 """Secret scans: pattern candidates, then a random forest that removes false positives.
 
 The forest looks at a candidate's length, character transitions, dictionary coverage, path marks and neighbouring
-words. It is trained on the driver from labelled findings, at most ``MOST_FINDINGS`` of them, and broadcast; its size is
-bounded by the number and depth of the trees. Scoring happens where a text lies, in one pass without a shuffle.
+words. Transitions are log-probabilities of letter pairs, and the dictionary the words, of a tokenizer's vocabulary file.
+It is trained on the driver from labelled findings, at most ``MOST_FINDINGS`` of them, and broadcast; its size is bounded
+by the number and depth of the trees and by the vocabulary. Scoring happens where a text lies, in one pass without a
+shuffle, in time that grows with the length of a text.
 """
 
 from __future__ import annotations
@@ -11,12 +13,15 @@ import math
 import random
 import re
 import string
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import read_ranks
 from .support import map_documents
 
 #: Bound of the training sample; more labelled findings are thinned evenly.
@@ -61,38 +66,64 @@ HINTS = {
 }
 _HINT = re.compile("|".join(dict.fromkeys(HINTS[kind] for kind, _ in PATTERNS)))
 
-#: Words by which a candidate's letters are covered, and words that speak for or against a secret nearby.
-DICTIONARY = """
-access account action address admin agent alpha answer apple array asset auth backup base beta body book branch bucket build
-button cache call change channel check child class client cloud code column commit common config connect content control cookie
-copy count create current custom data date debug default delete demo deploy design detail develop device digest docs document
-domain driver dummy element email empty enable encode engine entity entry error event example export extra false field file
-filter folder format frame function gateway general global group guest handler header hello helper history home host image
-import index info input insert install instance internal item java john json kernel label language layer layout length level
-library license limit line link list load local login machine main manager master member memory message method model module
-monitor mount name native network node note null number object offer office open option order other output owner package page
-parent part pass password path pattern payload percent phone place plain platform plugin point policy post primary print private
-process product profile program project property proxy public query queue random range read record region release remote report
-request reset resource response result return review role root route rule sample schema screen script search secret section select
-send sequence server service session setting share simple size source space spring stack stage standard start state static status
-storage store stream string style submit summary support switch system table target task team temp template test text theme thread
-time title token tool total trace transfer tree true type undefined unit update upload user utils value variable vector version
-video view visit volume warning welcome widget window word work worker world wrapper write your zone
-""".split()
+#: Words that speak for or against a secret nearby.
 FOR = ("token", "secret", "password", "passwd", "pwd", "key", "auth", "credential", "bearer", "login")
 AGAINST = ("example", "sample", "dummy", "placeholder", "test", "fake", "uuid", "guid", "commit", "revision", "checksum",
            "sha1", "sha256", "md5", "digest", "hash", "integrity", "etag", "version", "xxx", "your", "redacted")
-_COVER = re.compile("|".join(sorted(DICTIONARY, key=len, reverse=True)))
 _FOR, _AGAINST = re.compile("|".join(FOR)), re.compile("|".join(AGAINST))
+#: A neighbouring word: white space ends it, what isn't a letter or digit around it doesn't belong to it.
+_WORD = re.compile(r"(?<!\S)[^\sa-z0-9]*([a-z0-9]+)[^\sa-z0-9]*(?!\S)")
+_PATH_BEFORE, _ASSIGNED = re.compile(r"(?:https?://|/|\\)\S*$"), re.compile(r"[=:]\s{0,3}[\"']?$")
+_UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}")
+_NOT_HEX = re.compile("[^0-9a-f]")
 
 FEATURES = (
-    "length", "classes", "class_changes", "entropy", "rare_transitions", "repeats", "digit_share", "upper_share",
-    "covered", "path_marks", "path_before", "for_near", "against_near", "against_inside", "quoted", "assigned", "provider",
-    "uuid_shape", "hex_only",
+    "length", "classes", "class_changes", "entropy", "transitions", "repeats", "steps", "digit_share", "upper_share",
+    "covered", "longest_word", "path_marks", "path_before", "for_near", "against_near", "against_inside", "quoted",
+    "assigned", "provider", "uuid_shape", "hex_only",
 )
 
-#: Letter pairs that are frequent in words of the dictionary: transitions beyond these are rare.
-_PAIRS = {w[i : i + 2] for w in DICTIONARY for i in range(len(w) - 1)}
+#: Letters of the shortest dictionary word that counts as coverage.
+LEAST_WORD = 4
+_CLASS = bytes(0 if 48 <= c < 58 else 1 if 97 <= c < 123 else 2 if 65 <= c < 91 else 3 for c in range(256))
+_LETTER = bytes(c - 97 if 97 <= c < 123 else c - 65 if 65 <= c < 91 else 26 for c in range(256))
+
+
+class Language:
+    """Words and letter transitions of a vocabulary: what a candidate is compared with."""
+
+    def __init__(self, tokens: Iterable[str]):
+        words = [t.strip().lower() for t in tokens]
+        self.words = sorted({w for w in words if len(w) >= LEAST_WORD and w.isascii() and w.isalpha()})
+        counts = np.ones((26, 26))
+        for word in self.words:
+            letters = np.frombuffer(word.encode().translate(_LETTER), np.uint8)
+            np.add.at(counts, (letters[:-1], letters[1:]), 1)
+        self.log = np.log2(counts / counts.sum(axis=1, keepdims=True))
+        self.automaton = ahocorasick.Automaton()
+        for word in self.words:
+            self.automaton.add_word(word, len(word))
+        if self.words:
+            self.automaton.make_automaton()
+
+    def __reduce__(self):
+        return Language, (self.words,)
+
+    @classmethod
+    def of_vocabulary(cls, path: str) -> Language:
+        return cls(t.decode("utf-8", "ignore") for t in read_ranks(path))
+
+    def transitions(self, value: bytes) -> float:
+        """Mean log2-probability of the pairs of letters that stand side by side; that of even odds where none do."""
+        letters = np.frombuffer(value.translate(_LETTER), np.uint8)
+        a, b = letters[:-1], letters[1:]
+        both = (a < 26) & (b < 26)
+        return float(self.log[a[both], b[both]].mean()) if both.any() else -math.log2(26)
+
+    def covered(self, low: str) -> tuple[float, int]:
+        """Share of the characters that lie in words, leftmost and longest first, and the length of the longest word."""
+        sizes = [n for _, n in self.automaton.iter_long(low)] if self.words else []
+        return sum(sizes) / max(1, len(low)), max(sizes, default=0)
 
 
 @dataclass(frozen=True)
@@ -108,44 +139,52 @@ def candidates(text: str) -> list[Candidate]:
     if not _HINT.search(text):
         return found
     for kind, pattern in _COMPILED:
+        fresh, at = [], 0  # both lists go by place, so that each pattern takes one walk along them
         for m in pattern.finditer(text):
             start, end = m.span("v")
-            if all(end <= c.start or start >= c.end for c in found):
-                found.append(Candidate(start, end, kind))
-    return sorted(found, key=lambda c: c.start)
+            while at < len(found) and found[at].end <= start:
+                at += 1
+            if at == len(found) or found[at].start >= end:
+                fresh.append(Candidate(start, end, kind))
+        if fresh:
+            found = sorted(found + fresh, key=lambda c: c.start)
+    return found
 
 
-def features(text: str, c: Candidate) -> list[float]:
+def features(text: str, c: Candidate, language: Language) -> list[float]:
     value = text[c.start : c.end]
-    n = len(value)
-    kinds = [0 if x.isdigit() else 1 if x.islower() else 2 if x.isupper() else 3 for x in value]
-    low = value.lower()
-    counts: dict[str, int] = {}
-    for x in value:
-        counts[x] = counts.get(x, 0) + 1
-    letters = [low[i : i + 2] for i in range(n - 1) if low[i : i + 2].isalpha()]
+    n, low = len(value), value.lower()
+    raw = value.encode("ascii", "replace")
+    codes = np.frombuffer(raw, np.uint8).astype(np.int16)
+    kinds = np.frombuffer(raw.translate(_CLASS), np.uint8)
+    step = np.diff(codes)
+    share = np.bincount(codes) / n
+    share = share[share > 0]
     before, after = text[max(0, c.start - AROUND) : c.start].lower(), text[c.end : c.end + AROUND].lower()
     near = before[-24:] + " " + after[:12]
+    covered, longest = language.covered(low)
     return [
-        float(c.end - c.start),
-        len(set(kinds)),
-        sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1),
-        -sum(k / n * math.log2(k / n) for k in counts.values()) if n else 0.0,
-        sum(p not in _PAIRS for p in letters) / max(1, len(letters)),
-        sum(a == b for a, b in zip(value, value[1:])) / max(1, n - 1),
-        kinds.count(0) / max(1, n),
-        kinds.count(2) / max(1, n),
-        sum(len(m[0]) for m in _COVER.finditer(low)) / max(1, n),
-        sum(value.count(x) for x in "/\\.") + value.count("::"),
-        float(bool(re.search(r"(?:https?://|/|\\)\S*$", before))),
-        len(_FOR.findall(near)),
-        len(_AGAINST.findall(before + " " + after)),
-        len(_AGAINST.findall(low)),
-        float(text[c.start - 1 : c.start] in ("'", '"') and c.start > 0),
-        float(bool(re.search(r"[=:]\s{0,3}[\"']?$", before))),
+        float(n),
+        float(len(set(kinds.tolist()))),
+        float((kinds[1:] != kinds[:-1]).sum()) / max(1, n - 1),
+        float(-(share * np.log2(share)).sum()),
+        language.transitions(raw),
+        float((step == 0).sum()) / max(1, n - 1),
+        float((np.abs(step) == 1).sum()) / max(1, n - 1),
+        float((kinds == 0).sum()) / n,
+        float((kinds == 2).sum()) / n,
+        covered,
+        float(longest),
+        float(sum(value.count(x) for x in "/\\.") + value.count("::")),
+        float(bool(_PATH_BEFORE.search(before))),
+        float(len(_FOR.findall(near))),
+        float(sum(w in AGAINST for w in _WORD.findall(before + " " + after))),
+        float(len(_AGAINST.findall(low))),
+        float(before[-1:] in ("'", '"') and c.start > 0),
+        float(bool(_ASSIGNED.search(before))),
         float(c.kind not in ("assigned", "bare_assigned", "hex", "mixed")),
-        float(bool(re.fullmatch(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", low))),
-        float(all(x in "0123456789abcdef" for x in low)),
+        float(bool(_UUID.fullmatch(low))),
+        float(not _NOT_HEX.search(low)),
     ]
 
 
@@ -214,74 +253,117 @@ class Forest:
         return total / max(1, len(self.trees))
 
 
-def labelled_findings(count: int = MOST_FINDINGS, seed: int = SEED) -> list[tuple[str, bool]]:
-    """Made findings: a text with one candidate, and whether it is a secret. Half are false positives of usual kinds."""
+def labelled_findings(words: Sequence[str], count: int = MOST_FINDINGS, seed: int = SEED) -> list[tuple[str, bool]]:
+    """Made findings: a text with one candidate, and whether it is a secret; every second one is a false positive.
+
+    A finding is put together of a name, a way to assign, a value and what stands around it, each drawn by itself. Random
+    values under names of secrets and random values behind a provider's prefix are secrets. Not so are checksums,
+    revisions and identifiers, paths and addresses, names made of words, templates, runs and repetitions, and what a
+    document says is an example.
+    """
     rng = random.Random(seed)
     alnum, b64 = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
     draw = lambda chars, n: "".join(rng.choices(chars, k=n))
-    hexes = lambda n: draw("0123456789abcdef", n)
-    words = lambda n: rng.sample(DICTIONARY, n)
-    prose = lambda n: " ".join("".join(rng.choices("abcdefghilmnoprstu", k=rng.randint(2, 9))) for _ in range(n))
-    name = lambda: rng.choice(["token", "secret", "password", "api_key", "access_key", "auth_token", "client_secret", "API_TOKEN", "TOKEN"])
+    hexes = lambda n: draw(rng.choice(["0123456789abcdef", "0123456789ABCDEF"]), n)
+    some = lambda n: rng.choices(words, k=n)
     uuid = lambda: "-".join(hexes(k) for k in (8, 4, 4, 4, 12))
+    joined = lambda n: rng.choice(["_", "-", "."]).join(some(n))
 
-    def secret() -> str:
-        value = rng.choice([
-            lambda: hexes(rng.choice([32, 40, 40, 64])), lambda: draw(alnum, rng.randint(20, 48)), lambda: draw(b64, rng.choice([40, 44, 64])),
-            lambda: hexes(40).upper(), lambda: draw(alnum + "!@%^-_", rng.randint(10, 20)),
+    def prose(n: int) -> str:
+        odd = lambda w: rng.choice([draw("abcdefghilmnoprstu", rng.randint(2, 9)), f"{w}@mail.{rng.choice(words)}.com", f"{w}-{rng.randint(1, 99)}"])
+        return rng.choice([" ", " ", ", ", "\n"]).join(odd(w) if rng.random() < 0.3 else w for w in some(n))
+
+    def named(stems: list[str]) -> str:
+        stem = rng.choice(stems)
+        name = rng.choice([stem, f"{rng.choice(words)}_{stem}", f"{stem}_{rng.randint(1, 9)}" if stem.isascii() and rng.random() < 0.2 else stem])
+        return rng.choice([name, name.upper(), name.capitalize(), name.replace("_", "-")])
+
+    def assigned(name: str, value: str) -> str:
+        q = rng.choice(["'", '"'])
+        return rng.choice([f"{name} = {q}{value}{q}", f"{name}={q}{value}{q}", f"{q}{name}{q}: {q}{value}{q}", f"{q}{name}{q} => {q}{value}{q}", f"{name}: {value}", f"export {name}={value}"])
+
+    kept = ["token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "auth_token", "client_secret", "credential", "private_key"]
+    plain = ["id", "uuid", "sha1", "sha256", "md5", "checksum", "digest", "etag", "commit", "revision", "integrity", "build_hash", "version"]
+
+    def random_value() -> str:
+        return rng.choice([
+            lambda: hexes(rng.choice([24, 32, 40, 40, 48, 64])), lambda: draw(alnum, rng.randint(16, 64)), lambda: draw(b64, rng.choice([28, 40, 44, 64, 88])),
+            lambda: draw(alnum + "!@%^-_$", rng.randint(10, 24)), lambda: f"{draw(alnum, 8)}.{draw(alnum + '-_', rng.randint(20, 40))}",
         ])()
+
+    def secret() -> str:
         return rng.choice([
-            lambda: f'{name()} = "{value}"', lambda: f"{name()}='{value}'", lambda: f'"{name()}": "{value}"', lambda: f"{name()}: {value}",
-            lambda: f'{name()} = "{value}"', lambda: "AKIA" + draw(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + draw(alnum, 36),
-            lambda: "sk_live_" + draw(alnum, 24), lambda: "xoxb-" + draw(string.digits, 11) + "-" + draw(alnum, 24), lambda: "AIza" + draw(alnum, 35),
-            lambda: f"eyJ{draw(alnum, 20)}.{draw(alnum, 40)}.{draw(alnum, 43)}",
+            *[lambda: assigned(named(kept), random_value())] * 6,
+            lambda: rng.choice(["AKIA", "ASIA"]) + draw(string.ascii_uppercase + string.digits, 16), lambda: rng.choice(["ghp_", "gho_", "ghs_"]) + draw(alnum, 36),
+            lambda: "glpat-" + draw(alnum, 20), lambda: rng.choice(["sk_live_", "rk_live_"]) + draw(alnum, 24), lambda: "xoxb-" + draw(string.digits, 11) + "-" + draw(alnum, 24),
+            lambda: "AIza" + draw(alnum, 35), lambda: f"eyJ{draw(alnum, 20)}.{draw(alnum, 40)}.{draw(alnum, 43)}",
             lambda: f"-----BEGIN RSA PRIVATE KEY-----\n{draw(b64, 64)}\n{draw(b64, 64)}\n-----END",
         ])()
 
+    def run() -> str:
+        cycle = rng.choice(["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "1234567890", "ABCDEFGH01234567", "deadbeef", "x", "0", "*", "a1", "xX"])
+        return (cycle * 40)[: rng.choice([16, 24, 32, 40, 64])]
+
     def false_alarm() -> str:
         return rng.choice([
-            lambda: f"{rng.choice(['commit', 'revision', 'merge'])} {hexes(40)}", lambda: f"{rng.choice(['md5', 'checksum', 'etag'])}: {hexes(32)}",
-            lambda: f"sha256:{hexes(64)}", lambda: f"integrity sha256-{draw(b64, 43)}=", lambda: f"uuid {uuid()}", lambda: f'id = "{uuid()}"',
-            lambda: f'{name()} = "{"_".join(words(3))}"', lambda: f'{name()} = "your_{"_".join(words(2))}_here"', lambda: f'{name()}: "{"x" * rng.randint(8, 32)}"',
-            lambda: f'{name()} = "example-{"-".join(words(2))}"', lambda: f"{name()} = config.{'.'.join(words(3))}", lambda: f'{name()}: "/{"/".join(words(4))}/v2"',
-            lambda: f"https://host/{'/'.join(words(3))}/{hexes(32)}", lambda: "/usr/lib/" + "/".join(words(5)) + "/v1",
-            lambda: "-".join(words(4)) + "-2024", lambda: f"{'_'.join(words(5))}_{rng.randint(1, 99)}", lambda: f'{name()} = "{"*" * 12}"',
-            lambda: f"digest {hexes(64)}", lambda: f'{name()}="test{draw(string.digits, 6)}"', lambda: "AKIA" + "EXAMPLE" * 2 + "XX",
+            lambda: assigned(named(plain), rng.choice([hexes(32), hexes(40), hexes(64), uuid(), draw(b64, 43) + "="])),
+            lambda: f"{rng.choice(plain)} {rng.choice([hexes(32), hexes(40), hexes(64), uuid()])}", lambda: f"sha{rng.choice([1, 256, 512])}{rng.choice('-:')}{draw(b64, 43)}=",
+            lambda: assigned(named(kept), joined(rng.randint(2, 4))), lambda: assigned(named(kept), rng.choice(["your", "my", "the", "enter"]) + "_" + joined(2) + "_here"),
+            lambda: assigned(named(kept), rng.choice(["<{}>", "${{{}}}", "{{{{{}}}}}", "%({})s"]).format("_".join(some(rng.randint(2, 3))))),
+            lambda: assigned(named(kept), f"{rng.choice(['config', 'os.environ', 'self', 'process.env', 'settings'])}.{joined(2)}"),
+            lambda: assigned(named(kept), rng.choice(["example", "sample", "dummy", "test", "changeme", "placeholder"]) + rng.choice(["-", "_", ""]) + rng.choice([joined(1), draw(string.digits, 6)])),
+            lambda: assigned(named(kept), run()), lambda: assigned(named(kept), "/" + "/".join(some(rng.randint(3, 5))) + rng.choice(["", ".pem", ".key", "/v2"])),
+            lambda: f"https://{rng.choice(words)}.com/{'/'.join(some(rng.randint(2, 4)))}/{rng.choice([hexes(32), '-'.join(some(5)) + '-2024', uuid()])}",
+            lambda: "/" + "/".join(some(rng.randint(4, 6))) + f"/v{rng.randint(1, 9)}", lambda: "-".join(some(4)) + f"-20{rng.randint(10, 29)}", lambda: f"{'_'.join(some(5))}_{rng.randint(1, 99)}",
+            lambda: "".join(w.capitalize() for w in some(5)) + str(rng.randint(1, 999)), lambda: "AKIA" + "EXAMPLE" * 2 + "XX", lambda: "ghp_" + run()[:16].ljust(36, "x"),
+            lambda: f"for example {assigned(named(kept), random_value())} is a dummy",
         ])()
 
     out = []
     while len(out) < count:
         true = len(out) % 2 == 0
-        body = secret() if true else false_alarm()
-        tail = rng.choice(["", " ", "###", ".", "!!", ", ", " | "])
-        out.append((f"{prose(rng.randint(0, 6))} {body}{tail}{prose(rng.randint(0, 6))}", true))
+        lead = f"{prose(rng.randint(1, 6))}{rng.choice([' ', chr(10), ' (', '; '])}" if rng.random() < 0.8 else ""
+        tail = rng.choice(["", " ", ".", ", ", " | ", ";", ")", "\n", "!!", " # ", "###"])
+        text = f"{lead}{secret() if true else false_alarm()}{tail}{prose(rng.randint(0, 6))}"
+        if candidates(text):
+            out.append((text, true))
     return out
 
 
-def train(findings: list[tuple[str, bool]], most: int = MOST_FINDINGS, seed: int = SEED) -> Forest:
-    """A forest from labelled findings; every candidate in a finding's text carries its label."""
+@dataclass(frozen=True)
+class Model:
+    """A forest and the language that its features are taken by."""
+
+    forest: Forest
+    language: Language
+
+    def votes(self, text: str, found: list[Candidate]) -> list[float]:
+        return self.forest.votes(np.array([features(text, c, self.language) for c in found])).tolist() if found else []
+
+
+def train(findings: list[tuple[str, bool]], language: Language, most: int = MOST_FINDINGS, seed: int = SEED) -> Model:
+    """A model from labelled findings; every candidate in a finding's text carries its label."""
     step = max(1, math.ceil(len(findings) / most))
-    rows = [(features(t, c), label) for t, label in findings[::step] for c in candidates(t)]
+    rows = [(features(t, c, language), label) for t, label in findings[::step] for c in candidates(t)]
     if not rows:
-        return Forest([])
-    return Forest.fit(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float), seed=seed)
+        return Model(Forest([]), language)
+    return Model(Forest.fit(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float), seed=seed), language)
 
 
-_model: list[Forest] = []
+_models: dict[str, Model] = {}
 
 
-def default_model() -> Forest:
-    """The forest over the made findings, trained once per driver."""
-    if not _model:
-        _model.append(train(labelled_findings()))
-    return _model[0]
+def default_model(vocabulary: str) -> Model:
+    """The model over made findings, trained once per driver; the language is that of a vocabulary file."""
+    if vocabulary not in _models:
+        language = Language.of_vocabulary(vocabulary)
+        _models[vocabulary] = train(labelled_findings(language.words), language)
+    return _models[vocabulary]
 
 
-def judge(text: str | None, model: Forest) -> list[tuple[Candidate, float]]:
+def judge(text: str | None, model: Model) -> list[tuple[Candidate, float]]:
     found = candidates(text) if text else []
-    if not found:
-        return []
-    return list(zip(found, model.votes(np.array([features(text, c) for c in found])).tolist()))
+    return list(zip(found, model.votes(text, found))) if found else []
 
 
 FINDINGS = "doc_id long, n_candidates long, findings array<struct<start:int,stop:int,kind:string,score:double,secret:boolean>>"
@@ -290,13 +372,13 @@ _FINDING = pa.list_(
 )
 
 
-def scan(docs: DataFrame, model: Forest | None = None, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, model: Model, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_candidates, findings): a row per row of ``docs``, with each candidate's place in characters, kind and vote.
 
     A null or empty text has no candidates. Ids may be null or repeated; an empty table gives no row; extra columns are
     ignored. Whole texts are scanned and whole values judged.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model or default_model())
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -321,10 +403,14 @@ def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(parts) + text[at:]
 
 
-def redact(docs: DataFrame, model: Forest | None = None, cut: float = CUT, text_col: str = "text") -> DataFrame:
-    """``docs`` with every secret in its text replaced by ``<kind>``; other columns and all rows stay as they are."""
+def redact(docs: DataFrame, model: Model, cut: float = CUT, text_col: str = "text") -> DataFrame:
+    """``docs`` with every secret in its text replaced by ``<kind>``; other columns and all rows stay as they are.
+
+    A null text stays null and an empty one empty; texts of any length are scanned whole; repeated rows are treated alike;
+    an empty table gives no row. Columns pass by position, so that no name can clash.
+    """
     spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model or default_model())
+    shared = spark.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
     def run(batches):
