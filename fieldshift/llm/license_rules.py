@@ -150,6 +150,42 @@ zlib | this software is provided as is without any express or implied warranty i
 public-domain | (?:placed|released|dedicated) (?:in|into|to) the public domain
 proprietary | all rights reserved
 proprietary | proprietary and confidential
+mit | the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+apache-2.0 | apache license version 2 0 january 2004
+apache-2.0 | licensed to the apache software foundation asf under one or more contributor license agreements
+apache-1.1 | this product includes software developed by the apache software foundation
+gpl-1.0 | gnu general public license version 1 february 1989
+gpl-2.0 | gnu general public license version 2 june 1991
+gpl-2.0 | under the terms of the gnu general public license version 2 as published by the free software foundation
+gpl-3.0 | gnu general public license version 3 29 june 2007
+gpl | you should have received a copy of the gnu general public license along with this program
+lgpl-2.1 | gnu lesser general public license version 2 1 february 1999
+lgpl-3.0 | gnu lesser general public license version 3 29 june 2007
+lgpl | you should have received a copy of the gnu (?:lesser|library) general public license along with this library
+agpl-3.0 | gnu affero general public license version 3 19 november 2007
+agpl | you should have received a copy of the gnu affero general public license
+gfdl | permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
+bsd | redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+bsd | redistributions in binary form must reproduce the above copyright notice this list of conditions
+bsd | this software is provided by the (?:copyright holders and contributors|regents and contributors|author) as is
+mpl-1.1 | the contents of this file are subject to the mozilla public license version 1 1
+mpl-2.0 | if a copy of the mpl was not distributed with this file you can obtain one at
+epl-1.0 | this program and the accompanying materials are made available under the terms of the eclipse public license v1 0
+epl-2.0 | this program and the accompanying materials are made available under the terms of the eclipse public license 2 0
+cddl-1.0 | the contents of this file are subject to the terms of the common development and distribution license
+bsl-1.0 | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
+artistic | this is free software you can redistribute it and or modify it under the same terms as (?:the )?perl
+isc | the software is provided as is and the author disclaims all warranties with regard to this software
+zlib | altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+openssl | this product includes software developed by the openssl project for use in the openssl toolkit
+beerware | if we meet some day and you think this stuff is worth it you can buy me a beer in return
+wtfpl | you just do what the fuck you want to
+cc0 | to the extent possible under law (?:\S+ ){1,12}has waived all copyright and related or neighboring rights
+ofl-1.1 | this font software is licensed under the sil open font license version 1 1
+json | the software shall be used for good not evil
+psf | psf is making python available to licensee on an as is basis
+proprietary | unauthorized (?:copying|reproduction|distribution) of this (?:file|software|document) via any medium is strictly prohibited
+proprietary | this (?:file|software|document) contains (?:confidential|proprietary) information
 """
 
 #: Addresses, their marks read as spaces.
@@ -182,6 +218,10 @@ def _lines(table: str) -> list[tuple[str, list[str]]]:
     return [(label.strip(), [p.strip() for p in patterns]) for label, *patterns in rows]
 
 
+#: Patterns written by hand; every name stands for a mention and a grant, so there are more rules than that.
+WRITTEN = sum(len(patterns) for table in (NAMES, PASSAGES, ADDRESSES) for _, patterns in _lines(table))
+
+
 def _keywords(pattern: str) -> tuple[str, ...]:
     """Literal runs that any match holds: what stands outside groups, classes and optional characters."""
     plain = re.sub(r"\((?:[^()]|\([^()]*\))*\)\??", "~", pattern)

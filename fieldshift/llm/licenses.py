@@ -10,6 +10,7 @@ import re
 from collections import Counter
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -84,25 +85,33 @@ class Scanner:
         normal = normal_form(text)
         words = normal.count(b" ") + 1 if normal else 0
         framed = b" " + normal + b" "
-        places, base = [], set()
+        found, base = [], set()
         if b"license" in framed:
             for phrase, label in BASE.items():
                 at = framed.find(b" " + phrase + b" ")
                 while at >= 0:
-                    places.append(framed.count(b" ", 0, at))
+                    found.append(at)
                     base.add(label)
                     at = framed.find(b" " + phrase + b" ", at + 1)
+        places = _words_before(np.frombuffer(framed, np.uint8), found)
         plain = normal.decode()
         spans = self.detect(plain)
         labels = base | {s[3] for s in spans}
         score = max([CONFIDENCE.get(s[2], 0.5) for s in spans] + [0.5] * bool(base), default=0.0)
-        in_words = [(s[3], s[2], plain.count(" ", 0, s[0]), plain.count(" ", 0, s[1])) for s in spans]
+        letters = np.frombuffer(plain.encode("utf-32-le"), "<u4") if spans else np.empty(0, np.uint32)
+        first, last = (_words_before(letters, [s[side] for s in spans]) for side in (0, 1))
+        in_words = [(s[3], s[2], a, b) for s, a, b in zip(spans, first, last)]
         return (
             words, len(places), min(places, default=None), max(places, default=None),
             ",".join(sorted(base)), ",".join(sorted(labels)), score, in_words,
         )
 
 
+def _words_before(letters: np.ndarray, places: list[int]) -> list[int]:
+    """How many spaces stand before each place."""
+    return np.searchsorted(np.flatnonzero(letters == 32), np.array(places, np.int64)).tolist() if places else []
+
+
 _scanner: list[Scanner] = []
 
 SCHEMA = (

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from fieldshift.llm import license_rules, licenses
 
@@ -71,3 +72,19 @@ def test_empty_and_null_ids(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     odd = spark.createDataFrame([(None, "mit license"), (1, "x"), (1, "x")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_base) for r in licenses.scan(odd).collect()) == [(0, 1), (1, 0), (1, 0)]
+
+
+def test_time_grows_with_the_text():
+    scanner = licenses.Scanner()
+    start = time.process_time()
+    got = scanner.scan(b"mit license " * 100_000)
+    assert got[:4] == (200_000, 100_000, 0, 199_998) and time.process_time() - start < 10
+    assert len(got[7]) == 100_000 and got[7][-1][2:] == (199_998, 199_999)
+    start = time.process_time()
+    assert licenses._words_before(licenses.np.full(200_000, 32), list(range(100_000)))[-1] == 99_999
+    assert time.process_time() - start < 1
+
+
+def test_written_rules_are_told_from_those_that_follow():
+    written = [p for table in (license_rules.NAMES, license_rules.PASSAGES, license_rules.ADDRESSES) for _, ps in license_rules._lines(table) for p in ps]
+    assert len(written) == len(set(written)) == license_rules.WRITTEN and len(license_rules.build()) > 2 * 200
