@@ -1,26 +1,31 @@
 """Quality rules with thresholds that adapt to each language and source, in DataFrame functions only.
 
-Word and line statistics are array expressions over one text. Shares of symbols, repeated lines and the mean word
-length go into KLL quantile sketches per language and source; a source with few documents takes the sketch merged
-over its language, a language with few takes the one merged over all. A document is kept if each measure lies within
-Tukey-like fences of its group's quartiles, widened by floors that clean text stays within.
+Word and line statistics are array expressions over one text. Three rates of it - symbols per character, repeated lines
+per line, characters per word - go into quantile sketches per language and source: counts by bucket, where buckets
+are exact to 1 / 1024 for small rates and to 1 / 128 of the rate beyond, so that a sketch has a bounded number of
+buckets, whatever it has seen, and sketches merge by adding counts. A group's quartiles are those of its own sketch
+blended with its language's and with that of all, each weighing as much as ``PRIOR`` documents, so that many own
+documents decide and few ones follow the wider groups, by one formula at every size. A document is kept if no count of
+its is beyond what the fences of its group allow: ``REACH`` quartile ranges beyond the quartiles, times the length, and
+``SIGMAS`` standard deviations of a Poisson count. No fixed limit takes part, and all verdicts are the same in every run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .support import materialize
 
-#: Items that a sketch holds exactly; beyond, its rank error is about 1.7 / K ** 0.9.
-K = 1024
-#: Groups with fewer documents take the sketch of the next wider group.
-LEAST_GROUP = 200
-#: Quartile ranges beyond the quartiles that are still kept.
-REACH = 4.0
+#: Documents that the sketch of a language, and that of all, weigh in each group's blend.
+PRIOR = 100
+#: Quartile ranges beyond the quartiles that are still kept, and the standard deviations that a count may vary by.
+REACH, SIGMAS = 3, 3.0
+#: Buckets of a sketch: rates are taken in units of 1 / UNIT, of which the first MANTISSA binary digits count.
+UNIT, MANTISSA = 1024, 8
 #: The threshold table is broadcast if it has no more groups than this.
 MOST_BROADCAST_GROUPS = 100_000
 
@@ -29,8 +34,8 @@ REPEAT_PERCENT = 20
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
-#: Shares of symbols and of repeated lines that are always kept; factors of the median word length likewise.
-SYMBOL_FLOOR, LINE_FLOOR, LENGTH_LOW, LENGTH_HIGH = 0.03, 0.5, 0.75, 1.3
+#: The rates: a count, what it is counted over, and whether a low rate is odd too.
+RATES = {"symbols": ("n_symbols", "word_chars", False), "lines": ("n_dup_lines", "n_lines", False), "letters": ("word_chars", "n_words", True)}
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -97,88 +102,93 @@ def _measured(text: Column) -> Column:
     return bind(F.btrim(text, blank), of)
 
 
-def _share(part: str, whole: str) -> Column:
-    return F.col(part) / F.greatest(F.col(whole), F.lit(1))
-
-
 def measure(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
-    """The columns ``keep`` with the base statistics, base_failed, and the three adaptive measures.
+    """The columns ``keep`` with the base statistics, n_lines and base_failed.
 
     A null text counts as empty: no words, no lines, base_failed. Other columns, clashing or not, are left out.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     found = docs.select(*[F.col(f"`{c}`") for c in keep], _measured(text).alias("_m")).select(*keep, "_m.*")
-    return (
-        found.withColumn(
-            "base_failed",
-            (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")),
-        )
-        .withColumn("symbol_share", _share("n_symbols", "word_chars"))
-        .withColumn("line_share", _share("n_dup_lines", "n_lines"))
-        .withColumn("word_length", _share("word_chars", "n_words"))
+    return found.withColumn(
+        "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     )
 
 
-MEASURES = ("symbol_share", "line_share", "word_length")
-
+def bucket(count: Column, over: Column) -> Column:
+    """The bucket of a rate, by its lower edge in units of 1 / UNIT."""
+    units = F.floor(count / F.greatest(over, F.lit(1)) * F.lit(float(UNIT))).cast("long")
+    return bind(
+        units,
+        lambda u: bind(
+            F.greatest(F.length(F.bin(u)) - MANTISSA, F.lit(0)),
+            lambda cut: F.call_function("shiftleft", F.call_function("shiftright", u, cut), cut),
+        ),
+    )
 
-def sketches(measured: DataFrame, k: int = K) -> DataFrame:
-    """One row per language and source with a KLL sketch per measure, over documents that pass the base rules.
 
-    The condition is in the sums: a filter would be pushed below the statistics and compute them again.
-    """
-    passed = ~F.col("base_failed")
+def sketches(measured: DataFrame) -> DataFrame:
+    """(lang, source, rate, edge, n): documents per bucket of each rate, over documents that pass the base rules."""
+    parts = [F.struct(F.lit(name).alias("rate"), bucket(F.col(k), F.col(e)).alias("edge")) for name, (k, e, _) in RATES.items()]
     return (
-        measured.groupBy("lang", "source")
-        .agg(F.count_if(passed).alias("n"), *[F.kll_sketch_agg_double(F.when(passed, F.col(m)), F.lit(k)).alias(m) for m in MEASURES])
-        .where("n > 0")
+        measured.where(~F.col("base_failed"))
+        .select("lang", "source", F.explode(F.array(*parts)).alias("p"))
+        .groupBy("lang", "source", "p.rate", "p.edge")
+        .agg(F.count("*").alias("n"))
     )
 
 
-def thresholds(found: DataFrame, k: int = K, least: int = LEAST_GROUP) -> DataFrame:
-    """(lang, source, limits) from the sketches of :func:`sketches`, merged over wider groups where one is small."""
-    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(m, F.lit(k)).alias(m) for m in MEASURES]]
-    by_lang = found.groupBy("lang").agg(*merged)
-    overall = by_lang.agg(*merged)
-
-    def named(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
-
-    wide = (
-        found.join(named(by_lang, "l_"), F.col("lang").eqNullSafe(F.col("l_lang")))
-        .join(named(overall, "o_"))
-        .select(
-            "lang",
-            "source",
-            *[
-                F.when(F.col("n") >= least, F.col(m))
-                .when(F.col("l_n") >= least, F.col(f"l_{m}"))
-                .otherwise(F.col(f"o_{m}"))
-                .alias(m)
-                for m in MEASURES
-            ],
-        )
+def merged(found: DataFrame, *keys: str) -> DataFrame:
+    """Sketches of wider groups: ``found`` with only the group columns ``keys`` left."""
+    return found.groupBy(*keys, "rate", "edge").agg(F.sum("n").alias("n"))
+
+
+def thresholds(found: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """(lang, source, low_... and high_... of each rate, in units) from the sketches of :func:`sketches`.
+
+    Every group is blended over the buckets that occur anywhere, whose number is bounded by the sketch, so these are
+    broadcast. Weights are whole numbers, multiplied out, so that sums have no rounding.
+    """
+    whole = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(38,0)")
+
+    def sized(sketch: DataFrame, prefix: str, *keys: str) -> DataFrame:
+        total = F.sum("n").over(Window.partitionBy(*keys, "rate"))
+        return sketch.select(*[F.col(k).alias(f"{prefix}_{k}") for k in (*keys, "rate", "edge")], F.col("n").alias(f"{prefix}_n"), total.alias(f"{prefix}_all"))
+
+    by_lang = merged(found, "lang")
+    wide = sized(by_lang, "l", "lang")
+    groups = found.groupBy("lang", "source", "rate").agg(F.lit(None).alias("_")).drop("_")
+    langs = by_lang.groupBy("lang", "rate").agg(F.sum("n").alias("l_size")).withColumnsRenamed({"lang": "s_lang", "rate": "s_rate"})
+    grid = (
+        groups.join(F.broadcast(sized(merged(by_lang), "a")), F.col("rate") == F.col("a_rate"))
+        .join(langs, F.col("lang").eqNullSafe(F.col("s_lang")) & (F.col("rate") == F.col("s_rate")))
+        .join(wide, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("rate") == F.col("l_rate")) & (F.col("a_edge") == F.col("l_edge")), "left")
     )
-    ranks = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    quartiles = wide.select("lang", "source", *[F.kll_sketch_get_quantile_double(m, ranks).alias(m) for m in MEASURES])
-
-    def fence(m: str, side: int) -> Column:
-        q = F.col(m)
-        return q[2] + REACH * (q[2] - q[0]) if side > 0 else q[0] - REACH * (q[2] - q[0])
-
-    middle = F.col("word_length")[1]
-    return quartiles.select(
-        "lang",
-        "source",
-        F.greatest(fence("symbol_share", 1), F.lit(SYMBOL_FLOOR)).alias("max_symbol_share"),
-        F.greatest(fence("line_share", 1), F.lit(LINE_FLOOR)).alias("max_line_share"),
-        F.least(fence("word_length", -1), LENGTH_LOW * middle).alias("min_word_length"),
-        F.greatest(fence("word_length", 1), LENGTH_HIGH * middle).alias("max_word_length"),
+    own = found.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.col("rate").alias("g_rate"), F.col("edge").alias("g_edge"), F.col("n").alias("g_n"))
+    same = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")) & (F.col("rate") == F.col("g_rate")) & (F.col("a_edge") == F.col("g_edge"))
+    weight = whole("g_n") * whole("l_size") * whole("a_all") + F.lit(prior) * (whole("l_n") * whole("a_all") + whole("a_n") * whole("l_size"))
+    group = Window.partitionBy("lang", "source", "rate")
+    ranked = grid.join(own, same, "left").select("lang", "source", "rate", F.col("a_edge").alias("edge"), weight.cast("decimal(38,0)").alias("w")).select(
+        "lang", "source", "rate", "edge", F.sum("w").over(group.orderBy("edge")).alias("below"), F.sum("w").over(group).alias("total")
     )
+    quartile = lambda rate, q: F.min(F.when((F.col("rate") == rate) & (4 * F.col("below") >= q * F.col("total")), F.col("edge")))
+    fences = []
+    for rate in RATES:
+        q1, q3 = quartile(rate, 1), quartile(rate, 3)
+        fences += [(q1 - REACH * (q3 - q1)).alias(f"low_{rate}"), (q3 + REACH * (q3 - q1)).alias(f"high_{rate}")]
+    return ranked.groupBy("lang", "source").agg(*fences)
+
+
+def _allowed(rate: str) -> Column:
+    """Whether a document's count is one that the fences of its group allow."""
+    count, over, both = RATES[rate]
+    expected = lambda side: F.col(f"{side}_{rate}") / F.lit(float(UNIT)) * F.col(over)
+    most = expected("high") + F.lit(SIGMAS) * F.sqrt(expected("high") + 1)
+    least = expected("low") - F.lit(SIGMAS) * F.sqrt(F.greatest(expected("low"), F.lit(0.0)) + 1)
+    return (F.col(count) <= most) & ((F.col(count) >= least) if both else F.lit(True))
 
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
-    """``measured`` with kept: false for base_failed, else whether every measure lies within its group's limits.
+    """``measured`` with kept: false for base_failed, else whether every rate lies within its group's limits.
 
     The limits are broadcast if a count shows few groups; else the join shuffles measures, never texts. A null
     language or source is a group like any other.
@@ -186,11 +196,7 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     few = len(limits.take(MOST_BROADCAST_GROUPS + 1)) <= MOST_BROADCAST_GROUPS
     table = limits.withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source")
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
-    within = (
-        (F.col("symbol_share") <= F.col("max_symbol_share"))
-        & (F.col("line_share") <= F.col("max_line_share"))
-        & F.col("word_length").between(F.col("min_word_length"), F.col("max_word_length"))
-    )
+    within = reduce(Column.__and__, map(_allowed, RATES))
     return (
         measured.join(F.broadcast(table) if few else table, same, "left")
         .withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(within, F.lit(True))))
@@ -199,17 +205,24 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def assess(docs: DataFrame) -> DataFrame:
-    """Every row's doc_id, statistics, limits and verdict. Repeated rows are judged alike; an empty table gives none."""
+    """Every row's doc_id, statistics, limits and verdict.
+
+    A null or empty text has no words and fails the base rules; texts of any length are measured whole; a null language
+    or source is a group like any other; repeated rows are judged alike; an empty table gives no row; other columns of
+    ``docs``, whatever their names, are left out.
+    """
     measured = materialize(measure(docs), "measures")
     limits = materialize(thresholds(sketches(measured)), "limits")
     return judge(measured, limits)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the columns of ``docs``.
+    """The rows of ``docs`` that the rules keep, with the columns of ``docs``; :func:`assess` says how odd rows are judged.
 
-    Texts aren't shuffled: one pass makes the sketches, another measures again and filters.
+    Texts are measured once and aren't shuffled: rows are written with their measures and read again to be judged. Rows
+    pass as one struct, so that no column's name can clash.
     """
-    limits = materialize(thresholds(sketches(measure(docs, keep=("lang", "source")))), "limits")
     named = docs.select(F.struct("*").alias("_row"), "text", "lang", "source")
-    return judge(measure(named, keep=("_row", "lang", "source")), limits).where("kept").select("_row.*")
+    measured = materialize(measure(named, keep=("_row", "lang", "source")), "measures")
+    limits = materialize(thresholds(sketches(measured)), "limits")
+    return judge(measured, limits).where("kept").select("_row.*")

@@ -132,7 +132,6 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Sketches hold groups of up to quality.K documents exactly, so that SQL can state the thresholds of small tables.
 OP9_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS text,
@@ -156,29 +155,48 @@ WITH d AS (
          CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines
   FROM d LEFT JOIN r USING (k)
 ), s AS (
-  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-         n_symbols::DOUBLE / greatest(word_chars, 1) AS symbol_share,
-         n_dup_lines::DOUBLE / greatest(n_lines, 1) AS line_share,
-         word_chars::DOUBLE / greatest(n_words, 1) AS word_length
-  FROM m
-), good AS (SELECT * FROM s WHERE NOT base_failed
-), sizes AS (
-  SELECT lang, source, count(*) AS n, any_value(ln) AS ln
-  FROM (SELECT lang, source, count(*) OVER (PARTITION BY lang) AS ln FROM good) GROUP BY lang, source
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
+), units AS (
+  SELECT lang, source, unnest(['symbols', 'lines', 'letters']) AS rate, unnest([
+    CAST(floor(n_symbols::DOUBLE / greatest(word_chars, 1) * 1024) AS BIGINT),
+    CAST(floor(n_dup_lines::DOUBLE / greatest(n_lines, 1) * 1024) AS BIGINT),
+    CAST(floor(word_chars::DOUBLE / greatest(n_words, 1) * 1024) AS BIGINT)]) AS u
+  FROM s WHERE NOT base_failed
+), own AS (
+  SELECT lang, source, rate, (u >> greatest(length(bin(u)) - 8, 0)) << greatest(length(bin(u)) - 8, 0) AS edge, count(*)::HUGEINT AS n
+  FROM units GROUP BY ALL
+), bylang AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang, rate) AS size FROM (SELECT lang, rate, edge, sum(n)::HUGEINT AS n FROM own GROUP BY ALL)
+), overall AS (
+  SELECT *, sum(n) OVER (PARTITION BY rate) AS size FROM (SELECT rate, edge, sum(n)::HUGEINT AS n FROM own GROUP BY ALL)
+), blend AS (
+  SELECT g.lang, g.source, g.rate, a.edge,
+         coalesce(o.n, 0) * z.size * a.size + 100 * (coalesce(l.n, 0) * a.size + a.n * z.size) AS w
+  FROM (SELECT DISTINCT lang, source, rate FROM own) g
+  JOIN overall a ON g.rate = a.rate
+  JOIN (SELECT DISTINCT lang, rate, size FROM bylang) z ON g.lang IS NOT DISTINCT FROM z.lang AND g.rate = z.rate
+  LEFT JOIN bylang l ON g.lang IS NOT DISTINCT FROM l.lang AND g.rate = l.rate AND a.edge = l.edge
+  LEFT JOIN own o ON g.lang IS NOT DISTINCT FROM o.lang AND g.source IS NOT DISTINCT FROM o.source AND g.rate = o.rate AND a.edge = o.edge
+), ranked AS (
+  SELECT *, sum(w) OVER (PARTITION BY lang, source, rate ORDER BY edge) AS below, sum(w) OVER (PARTITION BY lang, source, rate) AS total
+  FROM blend
 ), q AS (
-  SELECT z.lang, z.source, quantile_disc(g.symbol_share, [0.25, 0.5, 0.75]) AS sy,
-         quantile_disc(g.line_share, [0.25, 0.5, 0.75]) AS li, quantile_disc(g.word_length, [0.25, 0.5, 0.75]) AS wl
-  FROM sizes z JOIN good g ON (z.n >= 200 AND g.lang IS NOT DISTINCT FROM z.lang AND g.source IS NOT DISTINCT FROM z.source)
-       OR (z.n < 200 AND z.ln >= 200 AND g.lang IS NOT DISTINCT FROM z.lang) OR (z.n < 200 AND z.ln < 200)
-  GROUP BY z.lang, z.source
+  SELECT lang, source, rate, min(edge) FILTER (4 * below >= total) AS q1, min(edge) FILTER (4 * below >= 3 * total) AS q3
+  FROM ranked GROUP BY ALL
+), f AS (
+  SELECT lang, source, max(4 * q3 - 3 * q1) FILTER (rate = 'symbols') / 1024.0::DOUBLE AS sy,
+         max(4 * q3 - 3 * q1) FILTER (rate = 'lines') / 1024.0::DOUBLE AS li,
+         max(4 * q1 - 3 * q3) FILTER (rate = 'letters') / 1024.0::DOUBLE AS low,
+         max(4 * q3 - 3 * q1) FILTER (rate = 'letters') / 1024.0::DOUBLE AS high
+  FROM q GROUP BY ALL
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(
-         symbol_share <= greatest(sy[3] + 4.0 * (sy[3] - sy[1]), 0.03)
-         AND line_share <= greatest(li[3] + 4.0 * (li[3] - li[1]), 0.5)
-         AND word_length >= least(wl[1] - 4.0 * (wl[3] - wl[1]), 0.75 * wl[2])
-         AND word_length <= greatest(wl[3] + 4.0 * (wl[3] - wl[1]), 1.3 * wl[2]), TRUE) AS kept
-FROM s LEFT JOIN q ON q.lang IS NOT DISTINCT FROM s.lang AND q.source IS NOT DISTINCT FROM s.source
+         n_symbols <= sy * word_chars + 3 * sqrt(sy * word_chars + 1)
+         AND n_dup_lines <= li * n_lines + 3 * sqrt(li * n_lines + 1)
+         AND word_chars >= low * n_words - 3 * sqrt(greatest(low * n_words, 0) + 1)
+         AND word_chars <= high * n_words + 3 * sqrt(high * n_words + 1), TRUE) AS kept
+FROM s LEFT JOIN f ON f.lang IS NOT DISTINCT FROM s.lang AND f.source IS NOT DISTINCT FROM s.source
 """
 
 

@@ -1,5 +1,8 @@
+import math
 import random
 import re
+from collections import Counter
+from fractions import Fraction
 
 from fieldshift.llm import quality
 
@@ -50,11 +53,86 @@ def test_thresholds_adapt_and_clean_text_stays(spark):
     assert kept >= set(range(900)) | {940, 942} and not kept & set(range(900, 940)) and 941 not in kept
     limits = {(r.lang, r.source) for r in quality.thresholds(quality.sketches(quality.measure(docs))).collect()}
     assert limits == {("en", "s0"), ("en", "s1"), ("en", "s2"), (None, None), ("fr", "s9")}
-    good = quality.keep_good(docs.withColumn("kept", docs.doc_id))
-    assert good.columns == ["doc_id", "text", "lang", "source", "kept"]
+    good = quality.keep_good(docs.withColumn("kept", docs.doc_id).withColumn("_row", docs.lang).withColumn("n_words", docs.doc_id))
+    assert good.columns == ["doc_id", "text", "lang", "source", "kept", "_row", "n_words"]
     assert {r.doc_id for r in good.collect()} == kept
 
 
+def plain_bucket(k, e):
+    units = math.floor(k / max(e, 1) * 1024)
+    cut = max(units.bit_length() - 8, 0)
+    return units >> cut << cut
+
+
+def plain_fences(rows, rate, prior=100):
+    """(lang, source) -> (low, high) of one rate from (lang, source, bucket) rows, by fractions."""
+    fences = {}
+    for group in {r[:2] for r in rows}:
+        own, lang = [r[2] for r in rows if r[:2] == group], [r[2] for r in rows if r[0] == group[0]]
+        every = [r[2] for r in rows]
+        weights = {}
+        for part, weight in ((own, Fraction(1)), (lang, Fraction(prior, len(lang))), (every, Fraction(prior, len(every)))):
+            for edge, n in Counter(part).items():
+                weights[edge] = weights.get(edge, 0) + weight * n
+        total, below, q = sum(weights.values()), 0, []
+        for edge in sorted(weights):
+            below += weights[edge]
+            q += [edge] * ((4 * below >= total) + (4 * below >= 3 * total) - len(q)) if len(q) < 2 else []
+        fences[group] = (q[0] - 3 * (q[1] - q[0]), q[1] + 3 * (q[1] - q[0]))
+    return fences
+
+
+def test_buckets_and_blended_fences_against_a_plain_version(spark):
+    rng = random.Random(3)
+    pairs = [(0, 0), (0, 7), (1, 10**9), (3, 3), (10**9, 1)] + [(rng.randrange(5000), rng.randrange(1, 900)) for _ in range(500)]
+    df = spark.createDataFrame(pairs, "k long, e long")
+    assert [r.b for r in df.select(quality.bucket(df.k, df.e).alias("b")).collect()] == [plain_bucket(*p) for p in pairs]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300).union(
+        spark.createDataFrame([(-1, "plain words " * 3 + "and some others that differ here", None, "src0", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    )
+    measured = [r for r in quality.measure(docs).collect() if not r.base_failed]
+    got = {(r.lang, r.source): r for r in quality.thresholds(quality.sketches(quality.measure(docs))).collect()}
+    for rate, (k, e, _) in quality.RATES.items():
+        want = plain_fences([(r.lang, r.source, plain_bucket(r[k], r[e])) for r in measured], rate)
+        assert {g: (r[f"low_{rate}"], r[f"high_{rate}"]) for g, r in got.items()} == want
+
+
+def test_a_large_groups_own_sketch_decides_alike_in_every_run(spark):
+    """6,000 documents of one source with long words and many symbols: its limits follow its own exact quartiles."""
+    rng = random.Random(5)
+
+    def text(length, symbols):
+        words = ["".join(rng.choices("abcdefgh", k=rng.randint(length - 1, length + 1))) for _ in range(60)]
+        return " ".join(w + "#" * (rng.random() < symbols) for w in words)
+
+    rows = [(i, text(12, rng.uniform(0.2, 0.4)), "en", "code") for i in range(6000)]
+    rows += [(6000 + i, text(5, 0.0), "en", "prose") for i in range(1500)]
+    rows += [(7500, text(12, 0.3), "en", "prose"), (7501, text(5, 0.0), "en", "code"), (7502, text(12, 0.0).replace(" ", "### "), "en", "code")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(7)
+    got = {r.doc_id: r for r in quality.assess(docs).collect()}
+    for rate, (k, e, _) in quality.RATES.items():
+        rates = sorted(r[k] / max(r[e], 1) for r in got.values() if r.source == "code")
+        q1, q3 = rates[len(rates) // 4], rates[3 * len(rates) // 4]
+        high = got[0][f"high_{rate}"] / 1024
+        # at most 200 of 6,200 weights are others', so ranks are off by 0.04 and values by 1 / 128 at most
+        near = [rates[int(len(rates) * (p + o))] for p, o in ((0.25, -0.04), (0.25, 0.04), (0.75, -0.04), (0.75, 0.04))]
+        least, most = near[2] - 3 * near[1] + 3 * near[2], near[3] + 3 * (near[3] - near[0])
+        slack = 8 * max(q3 / 128, 1 / 1024)
+        assert least - slack <= high <= most + slack, rate
+    wrong = {i for i, r in got.items() if not r.kept}
+    assert {7500, 7501, 7502} <= wrong and len(wrong) < 30
+    again = {r.doc_id: r.kept for r in quality.assess(docs.repartition(3)).collect()}
+    assert again == {i: r.kept for i, r in got.items()}
+
+
+def test_fences_decide_beyond_the_base_rules(spark):
+    rows = quality.assess(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    odd = [r for r in rows if not r.base_failed and not r.kept]
+    symbols = sum(r.n_symbols > r.high_symbols / 1024 * r.word_chars + 3 * (r.high_symbols / 1024 * r.word_chars + 1) ** 0.5 for r in odd)
+    letters = sum(r.word_chars > r.high_letters / 1024 * r.n_words + 3 * (r.high_letters / 1024 * r.n_words + 1) ** 0.5 for r in odd)
+    assert symbols > 20 and letters > 5 and len(odd) >= 50
+
+
 def test_wider_merge_without_the_broadcast(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "some plain words " * (i + 1), "en", f"s{i}") for i in range(6)], "doc_id long, text string, lang string, source string")
     want = sorted((r.doc_id, r.kept) for r in quality.assess(docs).collect())
