@@ -3,9 +3,13 @@
 Token counts are summed per cell of source, language and topic; the cells are raked until their marginals meet the
 targets; a document is then kept with a probability that follows from its cell's weight. Where a cell would need more
 than it holds, it is kept whole and the other cells are raked again around it, so that the expected tokens per source,
-language and topic have the target shares. A value whose tokens do not make up its target even if all are kept is kept
-whole, the other values of its dimension share the rest in the proportions of their targets, and the shortfall is
-logged; :func:`shares` gives all targets beside what is expected. Only sums per cell are gathered, never documents.
+language and topic have the target shares.
+
+Where no targets are given, they are the observed shares tempered by a power, but no value's target is more than its
+tokens can make up in a sample of the asked size: such a value is kept whole and the others share the rest in proportion.
+Given targets that the tokens can't make up, singly or together, raise an error, unless ``strict`` is off; tempered ones
+that can't be met together are missed as little as the rounds reach. What is missed is logged, and :func:`shares` gives
+all targets beside what is expected. Only sums per cell are gathered, never documents.
 """
 
 from __future__ import annotations
@@ -27,11 +31,13 @@ TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 #: Share of all tokens that the sample is expected to hold.
 FRACTION = 0.7
 SEED = 17
-ROUNDS, TOLERANCE = 60, 1e-9
+ROUNDS, CLUSTER_ROUNDS, TOLERANCE = 2000, 60, 1e-9
 #: With no more cells than this, rounds run on the driver over arrays, else as grouped sums in the cluster.
 MOST_LOCAL_CELLS = 200_000
-#: Bound of what calibration multiplies a probability by before it is cut at 1; shares that miss a target by more are logged.
-MOST_FACTOR, LOGGED = 1e9, 1e-6
+#: Bound of what calibration multiplies a probability by before it is cut at 1.
+MOST_FACTOR = 1e9
+#: A share that misses its target by more is logged, or an error where targets are given.
+MISSED = 1e-4
 #: From here a cell counts as whole, so that sums in another order don't decide what is fixed.
 WHOLE = 1 - 1e-9
 
@@ -40,6 +46,10 @@ log = logging.getLogger(__name__)
 Targets = Mapping[str, Mapping[str | None, float]]
 
 
+class Infeasible(ValueError):
+    """Given targets that a sample of the asked size can't have."""
+
+
 def token_count(text: Column) -> Column:
     """Words that ASCII white space separates; 0 for null."""
     return bind(
@@ -87,11 +97,19 @@ def _shares(values: list, tokens: np.ndarray, power: float, given: Mapping[str |
     return index, want / want.sum() if want.sum() else want
 
 
-def _rake_locally(rows: list, targets: Targets, fraction: float) -> tuple[np.ndarray, np.ndarray]:
+def _within(tokens: np.ndarray, index: np.ndarray, want: np.ndarray, budget: float) -> np.ndarray:
+    """The targets, or what the tokens of each value can make up of a sample of ``budget`` tokens."""
+    held = np.bincount(index, tokens, len(want))
+    goal = held * _probabilities(np.divide(want, held, out=np.zeros_like(want), where=held > 0), held, budget)
+    return goal / goal.sum() if goal.sum() else want
+
+
+def _rake_locally(rows: list, targets: Targets, fraction: float, strict: bool) -> tuple[np.ndarray, np.ndarray]:
     tokens = np.array([r.tokens for r in rows])
     total = tokens.sum()
     mass = tokens / total if total else tokens
-    dims = [_shares([r[d] for r in rows], tokens, TEMPER[d], targets.get(d)) for d in DIMENSIONS]
+    asked = [_shares([r[d] for r in rows], tokens, TEMPER[d], targets.get(d)) for d in DIMENSIONS]
+    dims = [(index, _within(tokens, index, want, fraction * total)) for index, want in asked]
     for _ in range(ROUNDS):
         worst = 0.0
         for index, want in dims:
@@ -104,36 +122,42 @@ def _rake_locally(rows: list, targets: Targets, fraction: float) -> tuple[np.nda
     weight = np.divide(mass * total, tokens, out=np.zeros_like(mass), where=tokens > 0)
     p = _calibrate(weight, tokens, dims, fraction * total)
     if p @ tokens:
-        for d, (index, want) in zip(DIMENSIONS, dims):
+        missed = []
+        for d, (index, want), (_, within) in zip(DIMENSIONS, asked, dims):
             expected = np.bincount(index, p * tokens, len(want)) / (p @ tokens)
             names = {i: r[d] for i, r in zip(index.tolist(), rows)}
-            _tell([(d, names[i], want[i], expected[i]) for i in np.flatnonzero(want - expected > LOGGED)])
+            goal = want if d in targets else within
+            missed += [(d, names[i], goal[i], expected[i]) for i in np.flatnonzero(np.abs(goal - expected) > MISSED)]
+        _tell(missed, strict and bool(targets))
     return weight, p
 
 
-def _tell(short: list) -> None:
-    for d, value, want, expected in short:
-        log.warning("%s %r: %.4f of the sample expected, target %.4f: its tokens do not suffice", d, value, expected, want)
+def _tell(missed: list, strict: bool) -> None:
+    if not missed:
+        return
+    lines = [f"{d} {value!r}: {expected:.5f} of the sample expected, target {want:.5f}" for d, value, want, expected in missed]
+    if strict:
+        raise Infeasible("targets that tokens can't make up at this fraction: " + "; ".join(lines[:20]))
+    for line in lines:
+        log.warning(line)
 
 
 def _calibrate(weight: np.ndarray, tokens: np.ndarray, dims: list, budget: float) -> np.ndarray:
-    """min(1, weight times a factor per source, language and topic) with the targets' marginals, as far as tokens go."""
+    """min(1, weight times a factor per source, language and topic) with the marginals of ``dims``, as far as tokens go."""
     now = weight * _scale(weight, tokens, budget)
-    goals = []
-    for index, want in dims:
-        held = np.bincount(index, np.where(weight > 0, tokens, 0.0), len(want))
-        goals.append(held * _probabilities(np.divide(want, held, out=np.zeros_like(want), where=held > 0), held, budget))
     for _ in range(ROUNDS):
         worst = 0.0
-        for (index, _), goal in zip(dims, goals):
+        for index, want in dims:
+            goal = want * budget
             full = np.bincount(index, np.where(now >= WHOLE, tokens, 0.0), len(goal))
             free = np.bincount(index, np.where(now < WHOLE, now * tokens, 0.0), len(goal))
             have = full + free
             worst = max(worst, float(np.abs(have - goal).max(initial=0)) / budget if budget else 0.0)
             # with the full cells fixed if the free ones can do it, else all of them
             alone = (goal > full) & (free > 0)
-            factor = np.divide(np.where(alone, goal - full, goal), np.where(alone, free, have), out=np.zeros_like(goal), where=have > 0)
-            now = np.minimum(now * factor[index], MOST_FACTOR)
+            with np.errstate(over="ignore"):
+                factor = np.divide(np.where(alone, goal - full, goal), np.where(alone, free, have), out=np.zeros_like(goal), where=have > 0)
+            now = np.minimum(now * np.minimum(factor, MOST_FACTOR)[index], MOST_FACTOR)
         if worst < TOLERANCE:
             break
     return _probabilities(now, tokens, budget)
@@ -158,19 +182,23 @@ def _probabilities(weight: np.ndarray, tokens: np.ndarray, budget: float) -> np.
     return np.where(full, 1.0, np.minimum(1.0, np.maximum(0.0, scale * weight)))
 
 
-def _wants(cells: DataFrame, targets: Targets) -> dict[str, DataFrame]:
-    """Per dimension (v, want): the target share of each value that has tokens."""
+def _wants(cells: DataFrame, targets: Targets, budget: float) -> dict[str, DataFrame]:
+    """Per dimension (v, asked, want): the share asked for each value with tokens, and what its tokens can make up."""
     spark = cells.sparkSession
     wants = {}
     for d in DIMENSIONS:
-        sums = cells.groupBy(d).agg(F.sum("tokens").alias("m")).where("m > 0")
+        sums = cells.groupBy(F.col(d).alias("v")).agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
         if targets.get(d) is not None:
-            given = spark.createDataFrame(list(targets[d].items()), "v string, want double")
-            sums = sums.join(given, F.col(d).eqNullSafe(F.col("v")), "left").select(d, F.coalesce("want", F.lit(0.0)).alias("want"))
+            given = spark.createDataFrame(list(targets[d].items()), "g string, share double")
+            sums = sums.join(given, F.col("v").eqNullSafe(F.col("g")), "left").select("v", "tokens", F.coalesce("share", F.lit(0.0)).alias("share"))
         else:
-            sums = sums.select(d, F.pow("m", F.lit(TEMPER[d])).alias("want"))
-        whole = sums.agg(F.sum("want")).first()[0] or 1.0
-        wants[d] = materialize(sums.select(F.col(d).alias("v"), (F.col("want") / F.lit(whole)).alias("want")), "targets")
+            sums = sums.withColumn("share", F.pow("tokens", F.lit(TEMPER[d])))
+        whole = sums.agg(F.sum("share")).first()[0] or 1.0
+        asked = materialize(sums.select("v", "tokens", (F.col("share") / F.lit(whole)).alias("asked"), (F.col("share") / F.lit(whole) / F.col("tokens")).alias("weight")), "targets")
+        scale = _scale_in_cluster(asked, budget)
+        goal = F.col("tokens") * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("weight") * F.lit(scale)))
+        goals = asked.agg(F.sum(goal)).first()[0] or 0.0
+        wants[d] = materialize(asked.select("v", "asked", (goal / F.lit(goals) if goals else F.col("asked")).alias("want")), "targets")
     return wants
 
 
@@ -192,20 +220,9 @@ def _calibrate_in_cluster(weighted: DataFrame, wants: dict[str, DataFrame], budg
     cut = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
     sums = weighted.agg(F.sum(F.col("weight") * F.col("tokens"))).first()[0]
     now = materialize(weighted.withColumn("now", F.col("weight") * F.lit(budget / sums if sums else 0.0)), "calibrating")
-    goals = {}
-    for d in DIMENSIONS:
-        held = weighted.groupBy(d).agg(F.sum(F.when(F.col("weight") > 0, F.col("tokens")).otherwise(0.0)).alias("tokens")).withColumnRenamed(d, "v")
-        table = materialize(
-            held.alias("h").join(wants[d].alias("w"), F.col("h.v").eqNullSafe(F.col("w.v")), "left").select(
-                F.col("h.v").alias("v"),
-                "tokens",
-                F.coalesce(F.when(F.col("tokens") > 0, F.col("want") / F.nullif("tokens", F.lit(0.0))), F.lit(0.0)).alias("weight"),
-            ),
-            "goals",
-        )
-        goals[d] = table.select("v", (F.col("tokens") * cut(F.col("weight") * F.lit(_scale_in_cluster(table, budget)))).alias("goal"))
+    goals = {d: wants[d].select("v", (F.col("want") * F.lit(budget)).alias("goal")) for d in DIMENSIONS}
     free, full, goal = F.col("free"), F.col("full"), F.col("goal")
-    for _ in range(ROUNDS):
+    for _ in range(CLUSTER_ROUNDS):
         worst, before = 0.0, now
         for d in DIMENSIONS:
             have = now.groupBy(d).agg(
@@ -215,9 +232,9 @@ def _calibrate_in_cluster(weighted: DataFrame, wants: dict[str, DataFrame], budg
             alone = (goal > full) & (free > 0)
             factor = F.when(alone, (goal - full) / F.nullif(free, F.lit(0.0))).when(full + free > 0, goal / F.nullif(full + free, F.lit(0.0)))
             both = materialize(
-                have.withColumnRenamed(d, "v").alias("h").join(goals[d].alias("g"), F.col("h.v").eqNullSafe(F.col("g.v"))).select(
-                    F.col("h.v").alias("v"), F.coalesce(factor, F.lit(0.0)).alias("factor"), F.abs(full + free - goal).alias("off")
-                ),
+                have.withColumnRenamed(d, "v").alias("h").join(goals[d].alias("g"), F.col("h.v").eqNullSafe(F.col("g.v")), "left")
+                .withColumn("goal", F.coalesce(goal, F.lit(0.0)))
+                .select(F.col("h.v").alias("v"), F.coalesce(factor, F.lit(0.0)).alias("factor"), F.abs(full + free - goal).alias("off")),
                 "factors",
             )
             worst = max(worst, (both.agg(F.max("off")).first()[0] or 0.0) / budget if budget else 0.0)
@@ -232,12 +249,12 @@ def _calibrate_in_cluster(weighted: DataFrame, wants: dict[str, DataFrame], budg
     return now.select(*DIMENSIONS, "tokens", "weight", cut(F.col("now") * F.lit(scale)).alias("probability"))
 
 
-def _rake_in_cluster(cells: DataFrame, targets: Targets, fraction: float) -> DataFrame:
+def _rake_in_cluster(cells: DataFrame, targets: Targets, fraction: float, strict: bool) -> DataFrame:
     """The same rounds as grouped sums and joins, each round written to the shared folder."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
     now = materialize(cells.withColumn("mass", F.col("tokens") / F.lit(total or 1.0)), "raking")
-    wants = _wants(cells, targets)
-    for _ in range(ROUNDS):
+    wants = _wants(cells, targets, fraction * total)
+    for _ in range(CLUSTER_ROUNDS):
         worst, before = 0.0, now
         for d in DIMENSIONS:
             have = now.groupBy(d).agg(F.sum("mass").alias("have")).withColumnRenamed(d, "v")
@@ -258,41 +275,43 @@ def _rake_in_cluster(cells: DataFrame, targets: Targets, fraction: float) -> Dat
         *DIMENSIONS, "tokens", F.when(F.col("tokens") > 0, F.col("mass") * total / F.nullif("tokens", F.lit(0.0))).otherwise(0.0).alias("weight")
     )
     found = materialize(_calibrate_in_cluster(materialize(weighted, "weighted"), wants, fraction * total), "weights")
-    short = _compare(found, wants).where(F.col("target") - F.col("expected") > LOGGED)
-    _tell([tuple(r) for r in short.orderBy(F.col("expected") - F.col("target")).limit(100).collect()])
+    missed = _compare(found, wants, targets).where(F.abs(F.col("target") - F.col("expected")) > MISSED)
+    _tell([tuple(r) for r in missed.orderBy(F.col("expected") - F.col("target")).limit(100).collect()], strict and bool(targets))
     return found.select(*DIMENSIONS, "weight", "probability")
 
 
-def _compare(found: DataFrame, wants: dict[str, DataFrame]) -> DataFrame:
+def _compare(found: DataFrame, wants: dict[str, DataFrame], targets: Targets) -> DataFrame:
     whole = found.agg(F.sum(F.col("tokens") * F.col("probability"))).first()[0] or 1.0
     parts = []
     for d in DIMENSIONS:
         have = found.groupBy(F.col(d).alias("v")).agg((F.sum(F.col("tokens") * F.col("probability")) / F.lit(whole)).alias("expected"))
         both = have.alias("h").join(wants[d].alias("w"), F.col("h.v").eqNullSafe(F.col("w.v")), "left")
-        parts.append(both.select(F.lit(d).alias("dimension"), F.col("h.v").cast("string").alias("value"), F.coalesce("want", F.lit(0.0)).alias("target"), "expected"))
+        target = F.col("asked" if d in targets else "want")
+        parts.append(both.select(F.lit(d).alias("dimension"), F.col("h.v").cast("string").alias("value"), F.coalesce(target, F.lit(0.0)).alias("target"), "expected"))
     return reduce(DataFrame.union, parts)
 
 
-def shares(cells: DataFrame, table: DataFrame, targets: Targets | None = None) -> DataFrame:
+def shares(cells: DataFrame, table: DataFrame, targets: Targets | None = None, fraction: float = FRACTION) -> DataFrame:
     """(dimension, value, target, expected): shares of the sample that :func:`weights` gives ``table`` for ``cells``."""
     same = reduce(lambda a, b: a & b, [cells[d].eqNullSafe(table[d]) for d in DIMENSIONS])
     found = cells.join(table, same).select(*[cells[d] for d in DIMENSIONS], "tokens", "probability")
-    return _compare(found, _wants(cells, targets or {}))
+    total = cells.agg(F.sum("tokens")).first()[0] or 0.0
+    return _compare(found, _wants(cells, targets or {}, fraction * total), targets or {})
 
 
-def weights(cells: DataFrame, targets: Targets | None = None, fraction: float = FRACTION) -> DataFrame:
+def weights(cells: DataFrame, targets: Targets | None = None, fraction: float = FRACTION, strict: bool = True) -> DataFrame:
     """(source, lang, topic, weight, probability) per cell; a value that targets don't name has share 0.
 
     The weight is the factor by which raking changes the cell's tokens. Cells that can't supply what their weight asks
     for are kept whole and the others are calibrated to the targets around them, so the sample's expected size holds and
-    so do the shares, but where all tokens of a value are fewer than its share; that shortfall is logged.
+    so do the shares. Given targets missed by more than ``MISSED`` raise :class:`Infeasible`, or are logged without ``strict``.
     """
     targets = targets or {}
     cells = materialize(cells, "cells")
     if cells.count() > MOST_LOCAL_CELLS:
-        return _rake_in_cluster(cells, targets, fraction)
+        return _rake_in_cluster(cells, targets, fraction, strict)
     rows = cells.collect()
-    weight, p = _rake_locally(rows, targets, fraction) if rows else ([], [])
+    weight, p = _rake_locally(rows, targets, fraction, strict) if rows else ([], [])
     found = [(*[r[d] for d in DIMENSIONS], float(w), float(q)) for r, w, q in zip(rows, weight, p)]
     schema = ", ".join(f"{d} {cells.schema[d].dataType.simpleString()}" for d in DIMENSIONS)
     return cells.sparkSession.createDataFrame(found, f"{schema}, weight double, probability double")
