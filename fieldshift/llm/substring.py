@@ -3,18 +3,24 @@
 Documents are dealt once into chunks of bounded bytes, kept as a table bucketed by chunk, so that later passes read a
 chunk where it lies and texts are never shuffled. Then
 
-1. every chunk sends its count-min cells, sorted and delta-coded, to the tasks that own blocks of the sketch; these
+1. every chunk sends its count-min cells, sorted and delta-coded, to the tasks that own parts of the sketch; these
    add them up and answer with a bit for each cell sent: counted twice or more, or not. Estimates are never too low.
 2. every chunk sends the hashes of windows whose cells are all repeated, with the smallest doc_id that has them, to the
    tasks that own hash ranges; these group them exactly and answer with a bit: a smaller doc_id elsewhere, or not.
 3. every chunk removes the words of windows that start in a document with a smaller doc_id.
 
-A window that many documents share is one entry per chunk, so no group grows beyond the number of chunks. Windows are
-told apart by 96 hash bits.
+A window that many documents share is one entry per chunk, so no group grows beyond the number of chunks. A chunk sends
+at most 2 ** ``MOST_BITS`` messages a pass and row, however large the corpus. Where the sketch needs more parts, the
+messages of a coarse part from a batch of chunks are merged into one such partition sketch, which is sent on to finer
+parts; the answers come back the same way. So messages stay at some hundred entries each and their number grows with the corpus.
+
+Windows are told apart by 128 hash bits over two independent hashes of each word: at 100 TB, some 10 ** 13 windows, the
+chance that any two windows share them without sharing their words is below 10 ** -12.
 """
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Iterator
 
@@ -33,6 +39,8 @@ WINDOW = 50
 CHUNK_BYTES = 12_000_000
 #: Rows of the sketch, and bits of the cells that one task adds up.
 DEPTH, BLOCK_BITS = 2, 23
+#: Bits of the parts that a chunk sends messages to, and of those that a merged batch sends on to.
+MOST_BITS = 12
 #: Windows that an exact group is planned for.
 GROUP_WINDOWS = 1 << 20
 MOST_BUCKETS = 20_000
@@ -40,21 +48,22 @@ MOST_BUCKETS = 20_000
 REMEMBERED = 500_000
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_hashes: dict[bytes, int] = {}
+_hashes: dict[bytes, bytes] = {}
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
+    """Two independent hashes of 64 bits of each word, in two columns."""
     if len(_hashes) > REMEMBERED:
         _hashes.clear()
-    get, digest = _hashes.get, xxhash.xxh3_64_intdigest
+    get, digest = _hashes.get, xxhash.xxh3_128_digest
 
-    def of(word: bytes) -> int:
+    def of(word: bytes) -> bytes:
         h = get(word)
         if h is None:
             h = _hashes[word] = digest(word)
         return h
 
-    return np.fromiter(map(of, words), np.uint64, len(words))
+    return np.frombuffer(b"".join(map(of, words)), np.uint64).reshape(-1, 2)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -93,8 +102,7 @@ class Windows:
             room = np.where(np.array([i is not None for i in ids]), np.maximum(sizes - width + 1, 0), 0)
             which = np.repeat(np.arange(len(ids)), room)
             self.start = np.arange(len(which)) - np.repeat(np.cumsum(room) - room, room) + self.first[which]
-            self.high = _rolling(values, _BASES[0], width)[self.start]
-            self.low = _rolling(_mix(values), _BASES[1], width)[self.start] >> np.uint64(32)
+            self.high, self.low = (_rolling(values[:, k], _BASES[k], width)[self.start] for k in (0, 1))
             self.doc = np.array([i or 0 for i in ids], np.int64)[which]
 
     def cells(self, depth: int, bits: int) -> Iterator[np.ndarray]:
@@ -147,12 +155,125 @@ def _answers(table: pa.Table, kind: int) -> list[tuple[bytes, int]]:
 
 def _runs(keys: np.ndarray, shift: int) -> Iterator[tuple[int, slice]]:
     """Stretches of sorted keys with equal ``key >> shift``."""
-    top = (keys >> np.uint64(shift)).astype(np.int64)
+    top = (keys >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
     values, first = np.unique(top, return_index=True)
     for value, a, b in zip(values.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)]):
         yield value, slice(a, b)
 
 
+class _Cells:
+    """Messages of sorted cells, each counted once or more often; asked is whether all count it more often."""
+
+    def write(self, part: int, shift: int, keys: np.ndarray, values: np.ndarray) -> tuple[bytes, None]:
+        steps = np.diff(keys, prepend=np.uint64(part << shift))
+        return pack(steps * np.uint64(2) + (values > 1)), None
+
+    def read(self, part: int, shift: int, n: int, data: bytes, more: None) -> tuple[np.ndarray, np.ndarray]:
+        steps = unpack(data)
+        return np.uint64(part << shift) + np.cumsum(steps >> np.uint64(1), dtype=np.uint64), (steps & np.uint64(1)).astype(np.uint8) + np.uint8(1)
+
+    def fold(self, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys in order, their counts up to 2, and each entry's place among them."""
+        distinct, place = np.unique(keys, return_inverse=True)
+        return distinct, np.minimum(np.bincount(place, values, len(distinct)), 2).astype(np.uint8), place
+
+    def told(self, mine: np.ndarray, folded: np.ndarray) -> np.ndarray:
+        """What an entry's answer is beside that of its distinct key: here nothing."""
+        return np.zeros(len(mine), bool)
+
+    def settle(self, part: int, shift: int, messages: list[tuple]) -> list[np.ndarray]:
+        counts, base = np.zeros(1 << shift, np.uint8), np.uint64(part << shift)
+        for message in messages:  # read twice, so that only the counts are held
+            keys, values = self.read(part, shift, *message)
+            at = (keys - base).astype(np.int64)
+            counts[at] = np.minimum(counts[at] + values, 2)
+        return [counts[(self.read(part, shift, *message)[0] - base).astype(np.int64)] > 1 for message in messages]
+
+
+class _Hashes:
+    """Messages of sorted windows by their hash pairs, with a doc_id; asked is whether any has a smaller one."""
+
+    def write(self, part: int, shift: int, keys: np.ndarray, values: np.ndarray) -> tuple[bytes, bytes]:
+        return keys.tobytes(), zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+
+    def read(self, part: int, shift: int, n: int, data: bytes, more: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(data, np.uint64).reshape(-1, 2), np.frombuffer(zstandard.ZstdDecompressor().decompress(more), np.int64)
+
+    def fold(self, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys in order, their smallest doc_ids, and each entry's place among them."""
+        order = np.lexsort((values, keys[:, 1], keys[:, 0]))
+        keys, values = keys[order], values[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        return keys[new], values[new], place
+
+    def told(self, mine: np.ndarray, folded: np.ndarray) -> np.ndarray:
+        return folded < mine
+
+    def settle(self, part: int, shift: int, messages: list[tuple]) -> list[np.ndarray]:
+        read = [self.read(part, shift, *message) for message in messages]
+        values = np.concatenate([v for _, v in read])
+        _, smallest, place = self.fold(np.concatenate([k for k, _ in read]), values)
+        return np.split(smallest[place] < values, np.cumsum([len(v) for _, v in read])[:-1])
+
+
+_Codec = _Cells | _Hashes
+
+
+def _messages(codec: _Codec, kind: int, owner: int, shift: int, keys: np.ndarray, values: np.ndarray) -> Iterator[tuple]:
+    """One message per part that holds any of the sorted keys."""
+    for part, at in _runs(keys if keys.ndim == 1 else keys[:, 0], shift):
+        yield kind, part, owner, at.stop - at.start, *codec.write(part, shift, keys[at], values[at])
+
+
+def _table(rows: list[tuple], ddl: str) -> pa.Table:
+    return pa.table(list(zip(*rows)), schema=_schema(ddl)) if rows else _schema(ddl).empty_table()
+
+
+def exchange(messages: DataFrame, codec: _Codec, shift: int, fine: int, batches: int) -> DataFrame:
+    """The answers to ``messages``, which go to the parts ``key >> shift``.
+
+    If ``fine`` is smaller, what the messages of a part from a batch of owners hold is merged, sent on to the parts
+    ``key >> fine`` and settled there.
+    """
+
+    def settle(at: int):
+        def run(table: pa.Table) -> pa.Table:
+            kinds, parts, owners, sizes, data, more = (table.column(c).to_pylist() for c in table.column_names)
+            flags = codec.settle(parts[0], at, list(zip(sizes, data, more)))
+            return pa.table([kinds, parts, owners, sizes, list(map(_bits, flags))], schema=_schema(ANSWER))
+
+        return run
+
+    if fine >= shift:
+        return messages.groupBy("kind", "part").applyInArrow(settle(shift), ANSWER)
+
+    held = materialize(messages.withColumn("batch", F.pmod(F.xxhash64("owner"), F.lit(batches))), "messages")
+
+    def merged(table: pa.Table):
+        kinds, parts, owners, sizes, data, more = (table.column(c).to_pylist() for c in table.column_names[:6])
+        read = [codec.read(parts[0], shift, *m) for m in zip(sizes, data, more)]
+        values = np.concatenate([v for _, v in read])
+        return (kinds, parts, owners, sizes), values, codec.fold(np.concatenate([k for k, _ in read]), values)
+
+    def send(table: pa.Table) -> pa.Table:
+        (kinds, *_), _, (keys, values, _) = merged(table)
+        return _table(list(_messages(codec, kinds[0], table.column("batch")[0].as_py(), fine, keys, values)), MESSAGE)
+
+    def spread(table: pa.Table, answers: pa.Table) -> pa.Table:
+        columns, values, (_, folded, place) = merged(table)
+        rows = sorted(answers.select(["fine_part", "bits", "n"]).to_pylist(), key=lambda r: r["fine_part"])
+        flags = _flags([(r["bits"], r["n"]) for r in rows])[place] | codec.told(values, folded[place])
+        return pa.table([*columns, list(map(_bits, np.split(flags, np.cumsum(columns[3])[:-1])))], schema=_schema(ANSWER))
+
+    group = ("kind", "part", "batch")
+    back = held.groupBy(*group).applyInArrow(send, MESSAGE).groupBy("kind", "part").applyInArrow(settle(fine), ANSWER)
+    back = back.select("kind", F.shiftright("part", shift - fine).alias("part"), F.col("owner").alias("batch"), F.col("part").alias("fine_part"), "n", "bits")
+    return held.groupBy(*group).cogroup(back.groupBy(*group)).applyInArrow(spread, ANSWER)
+
+
 def _chunk(table: pa.Table, width: int) -> tuple[Windows, list]:
     ids = table.column("doc_id").to_pylist()
     return Windows(table.column("text").to_pylist(), ids, width), ids
@@ -168,14 +289,8 @@ class _Exact:
             repeated = _flags(_answers(answers, row))
             candidate &= repeated[place] if len(distinct) else candidate
         self.at = np.flatnonzero(candidate)
-        high, low, doc = windows.high[self.at], windows.low[self.at], windows.doc[self.at]
-        order = np.lexsort((doc, low, high))
-        high, low, doc = high[order], low[order], doc[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
-        self.high, self.low, self.doc = high[new], low[new], doc[new]  # sorted by doc last, so the first is the smallest
-        self.group = np.empty(len(order), np.int64)
-        self.group[order] = np.cumsum(new) - 1
+        pairs = np.stack([windows.high[self.at], windows.low[self.at]], 1)
+        self.keys, self.doc, self.group = _Hashes().fold(pairs, windows.doc[self.at])
 
 
 def _deal(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
@@ -202,6 +317,12 @@ def _deal(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> Data
     name = f"chunks_{uuid.uuid4().hex}"
     path = scratch_path(spark, name)
     dealt.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, "chunk").saveAsTable(name)
+
+    def drop() -> None:  # the files go with the shared folder; a catalog that outlives the session keeps no entry either
+        if spark.sparkContext._jsc is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    atexit.register(drop)
     return spark.table(name)
 
 
@@ -214,6 +335,8 @@ def remove_repeats(
     depth: int = DEPTH,
     block_bits: int = BLOCK_BITS,
     cell_bits: int | None = None,
+    most_bits: int = MOST_BITS,
+    group_windows: int = GROUP_WINDOWS,
 ) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): one row per row of ``docs``.
 
@@ -226,9 +349,11 @@ def remove_repeats(
     chunks = _deal(docs, id_col, text_col, chunk_bytes)
     size = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     bits = cell_bits or max(16, min(60, int(size).bit_length()))  # about eight cells for each window
-    block = min(block_bits, bits)
-    exact_bits = max(0, (size // 6 // GROUP_WINDOWS).bit_length())
+    shift, fine = _shifts(bits, bits - block_bits, most_bits)
+    exact_shift, exact_fine = _shifts(64, (size // 6 // group_windows).bit_length(), most_bits)
+    batches = 1 + size // (chunk_bytes << most_bits)
     texts = chunks.select("chunk", "doc_id", "text")
+    cells_codec, hashes_codec = _Cells(), _Hashes()
 
     def sketch(table: pa.Table) -> pa.Table:
         windows, _ = _chunk(table, width)
@@ -236,50 +361,15 @@ def remove_repeats(
         rows = []
         for row, cells in enumerate(windows.cells(depth, bits)):
             distinct, count = np.unique(cells, return_counts=True)
-            for part, at in _runs(distinct, block):
-                steps = np.diff(distinct[at], prepend=np.uint64(part << block))
-                rows.append((row, part, chunk, at.stop - at.start, pack(steps * np.uint64(2) + (count[at] > 1))))
-        return pa.table(list(zip(*rows)) or [[]] * 5, schema=_schema("kind int, part long, chunk long, n int, cells binary"))
-
-    def add_up(table: pa.Table) -> pa.Table:
-        counts = np.zeros(1 << block, np.uint8)
-        kinds, parts, owners, sizes, cells = (table.column(c).to_pylist() for c in table.column_names)
-
-        def read(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-            steps = unpack(data)
-            return np.cumsum(steps >> np.uint64(1)).astype(np.int64), (steps & np.uint64(1)).astype(np.uint8)
-
-        for data in cells:
-            at, twice = read(data)
-            counts[at] = np.minimum(counts[at] + 1 + twice, 2)
-        bits_back = [_bits(counts[read(data)[0]] > 1) for data in cells]
-        return pa.table([kinds, parts, owners, sizes, bits_back], schema=_schema(ANSWER))
+            rows += _messages(cells_codec, row, chunk, shift, distinct, count)
+        return _table(rows, MESSAGE)
 
     def candidates(key, table: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = []
-        if table.num_rows:
-            exact = _Exact(_chunk(table, width)[0], answers, depth, bits)
-            chunk = table.column("chunk")[0].as_py()
-            squeeze = zstandard.ZstdCompressor(level=1).compress
-            for part, at in _runs(exact.high, 64 - exact_bits) if exact_bits else [(0, slice(0, len(exact.high)))]:
-                data = exact.high[at].tobytes() + exact.low[at].astype(np.uint32).tobytes()
-                rows.append((part, chunk, len(exact.high[at]), data, squeeze(exact.doc[at].tobytes())))
-        return pa.table(list(zip(*rows)) or [[]] * 5, schema=_schema("part long, chunk long, n int, hashes binary, docs binary"))
-
-    def group(table: pa.Table) -> pa.Table:
-        parts, owners, sizes, hashes, ids = (table.column(c).to_pylist() for c in table.column_names)
-        high = np.concatenate([np.frombuffer(h, np.uint64, n) for h, n in zip(hashes, sizes)])
-        low = np.concatenate([np.frombuffer(h, np.uint32, n, 8 * n) for h, n in zip(hashes, sizes)])
-        expand = zstandard.ZstdDecompressor().decompress
-        doc = np.concatenate([np.frombuffer(expand(d), np.int64) if n else np.empty(0, np.int64) for d, n in zip(ids, sizes)])
-        order = np.lexsort((doc, low, high))
-        new = np.ones(len(order), bool)
-        new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
-        smallest = doc[order][new][np.cumsum(new) - 1]
-        earlier = np.empty(len(order), bool)
-        earlier[order] = smallest < doc[order]
-        back = [_bits(f) for f in np.split(earlier, np.cumsum(sizes)[:-1])]
-        return pa.table([[-1] * len(parts), parts, owners, sizes, back], schema=_schema(ANSWER))
+        if not table.num_rows:
+            return _table([], MESSAGE)
+        exact = _Exact(_chunk(table, width)[0], answers, depth, bits)
+        chunk = table.column("chunk")[0].as_py()
+        return _table(list(_messages(hashes_codec, -1, chunk, exact_shift, exact.keys, exact.doc)), MESSAGE)
 
     def apply(key, table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -301,18 +391,23 @@ def remove_repeats(
             rows.append((i, len(words), len(words) - len(kept), b" ".join(kept).decode()))
         return pa.table(list(zip(*rows)), schema=_schema(RESULT))
 
-    cells = texts.groupBy("chunk").applyInArrow(sketch, "kind int, part long, chunk long, n int, cells binary")
-    repeated = materialize(cells.groupBy("kind", "part").applyInArrow(add_up, ANSWER), "repeated")
+    cells = texts.groupBy("chunk").applyInArrow(sketch, MESSAGE)
+    repeated = materialize(exchange(cells, cells_codec, shift, fine, batches), "repeated").withColumnRenamed("owner", "chunk")
     by_chunk = texts.groupBy("chunk")
-    asked = by_chunk.cogroup(repeated.groupBy("chunk")).applyInArrow(
-        candidates, "part long, chunk long, n int, hashes binary, docs binary"
-    )
-    earlier = materialize(asked.groupBy("part").applyInArrow(group, ANSWER), "earlier")
+    asked = by_chunk.cogroup(repeated.groupBy("chunk")).applyInArrow(candidates, MESSAGE)
+    earlier = materialize(exchange(asked, hashes_codec, exact_shift, exact_fine, batches), "earlier").withColumnRenamed("owner", "chunk")
     answers = repeated.unionByName(earlier)
     return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(apply, RESULT)
 
 
-ANSWER = "kind int, part long, chunk long, n int, bits binary"
+def _shifts(width: int, wanted: int, most: int) -> tuple[int, int]:
+    """By how much keys of ``width`` bits are shifted for coarse and fine parts, of which 2 ** ``wanted`` are needed."""
+    wanted = min(max(0, wanted), 2 * most)
+    return width - min(wanted, most), width - wanted
+
+
+MESSAGE = "kind int, part long, owner long, n int, data binary, more binary"
+ANSWER = "kind int, part long, owner long, n int, bits binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept string"
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
 

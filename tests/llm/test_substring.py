@@ -51,11 +51,39 @@ def test_against_brute_force(spark):
     rows += [(200, None), (201, ""), (202, passages[0]), (202, passages[0]), (None, passages[1]), (-5, passages[2]), (203, "é " * 400), (204, "é " * 300)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, chunk int").repartition(3)
     want = slow(rows, 8)
-    for settings in ({}, {"chunk_bytes": 700}, {"chunk_bytes": 3000, "cell_bits": 6, "block_bits": 4}):
+    two_levels = {"chunk_bytes": 900, "block_bits": 3, "most_bits": 2, "group_windows": 8}
+    for settings in ({}, {"chunk_bytes": 700}, {"chunk_bytes": 3000, "cell_bits": 6, "block_bits": 4}, two_levels | {"cell_bits": 9}, two_levels):
         got = substring.remove_repeats(docs, width=8, **settings).collect()
         assert sorted([tuple(r) for r in got], key=repr) == want, settings
 
 
+def test_messages_of_a_chunk_are_bounded_at_any_size():
+    """A sketch of 2 ** 47 cells is that of 100 TB."""
+    rng = np.random.default_rng(4)
+    for bits in (20, 30, 47):
+        shift, fine = substring._shifts(bits, bits - substring.BLOCK_BITS, substring.MOST_BITS)
+        cells = np.unique(rng.integers(0, 1 << bits, 200_000, dtype=np.uint64))
+        codec = substring._Cells()
+        sent = list(substring._messages(codec, 0, 7, shift, cells, np.ones(len(cells))))
+        assert len(sent) <= 1 << substring.MOST_BITS and sum(m[3] for m in sent) == len(cells)
+        assert max(len(m[4]) for m in sent) / 200_000 * len(sent) < 12
+        # a batch's merged messages to the finer parts of one coarse part, and the cells that a fine part adds up
+        inner = np.unique(rng.integers(0, 1 << shift, 200_000, dtype=np.uint64))
+        assert len(list(substring._messages(codec, 0, 7, fine, inner, np.ones(len(inner))))) <= 1 << substring.MOST_BITS
+        assert fine <= max(substring.BLOCK_BITS, 23)
+    assert substring._shifts(64, 0, 12) == (64, 64) and substring._shifts(64, 24, 12) == (52, 40)
+
+
+def test_hashes_of_a_window_are_independent():
+    """Words whose first 64 bits are equal still make the second hash differ."""
+    values = substring._word_hashes([b"a", b"b", b"a"])
+    assert values.shape == (3, 2) and (values[0] == values[2]).all() and (values[0] != values[1]).all()
+    clash = values.copy()
+    clash[1, 0] = clash[0, 0]
+    high, low = (substring._rolling(clash[:2, k], substring._BASES[k], 1) for k in (0, 1))
+    assert high[0] == high[1] and low[0] != low[1]
+
+
 def test_empty_and_short(spark):
     assert substring.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     short = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, None)], "doc_id long, text string")
