@@ -4,19 +4,21 @@ Fingerprints within ``radius`` bits agree on at least one of ``radius + 1`` or m
 fingerprint is dealt to one shard per choice of agreeing blocks. A shard's members become a BK-tree (children keyed
 by integer Hamming distance to the parent) and every member is searched in it, following only edges whose key lies
 within the radius of the distance to the node. Trees are built in the task that holds the shard: broadcasting them
-would send something that grows with the corpus to every executor. A shard with many members is dealt to several
-tasks: each has the whole tree and a share of the searches, so no task has more than ``searches`` of them.
+would send something that grows with the corpus to every executor. A shard with more than ``most`` members is dealt
+again, by blocks of the bits that its members don't share yet, until none is left; so trees are bounded, each member
+stands in a bounded number of them, and no link is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -25,8 +27,12 @@ from .support import map_documents, materialize, raw_texts
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
-#: Most searches in one tree by one task.
-SEARCHES = 16_384
+#: Members that a shard is planned for, and the most that become one tree.
+MEMBERS, MOST_MEMBERS = 1024, 16_384
+#: Blocks by which a larger shard is dealt again.
+BLOCKS_AGAIN = 6
+#: Members of shards that a task gathers before it builds their trees.
+HELD = 200_000
 #: Node visits that are held at once.
 FRONTIER = 1 << 20
 
@@ -133,61 +139,70 @@ def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = jumped
 
 
-def shard_links(points: np.ndarray, shard: np.ndarray, search: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def shard_links(points: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect all points which searches within their shard's tree reach; at most one per point."""
     forest, labels = Forest(points, shard), np.arange(len(points))
-    for a, b in forest.matches(np.flatnonzero(search), radius):
+    for a, b in forest.matches(np.arange(len(points)), radius):
         merge_labels(labels, a, b)
     linked = np.flatnonzero(labels != np.arange(len(points)))
     return points[linked], points[labels[linked]]
 
 
-def _blocks(count: int, radius: int) -> list[list[tuple[int, int]]]:
-    """Choices of (shift, width) blocks, one of which two fingerprints within the radius must share."""
-    size, extra = divmod(64, count)
-    spans, at = [], 0
-    for i in range(count):
-        width = size + (i < extra)
-        spans.append((at, width))
-        at += width
-    return [list(c) for c in combinations(spans, count - radius)]
+def agreeing(bits: list[int], count: int, radius: int) -> list[int]:
+    """Masks over ``bits`` in ``count`` blocks, on one of which two fingerprints within the radius agree."""
+    blocks = [sum(1 << b for b in part.tolist()) for part in np.array_split(bits, count)]
+    return [sum(choice) for choice in combinations(blocks, count - radius)]
 
 
-def block_count(distinct: int, radius: int = RADIUS) -> int:
-    """Blocks such that evenly spread fingerprints leave some tens in a shard; any count finds every link."""
+def again(mask: int, radius: int) -> list[int]:
+    """Larger masks, on one of which two fingerprints that agree on ``mask`` agree too; none where bits run out."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    return [mask | m for m in agreeing(free, min(len(free), BLOCKS_AGAIN), radius)] if len(free) > radius else []
+
+
+def block_count(distinct: int, radius: int = RADIUS, members: int = MEMBERS) -> int:
+    """Blocks such that evenly spread fingerprints leave at most ``members`` in a shard; any count finds every link."""
     count = radius + 1
-    while distinct >> ((count - radius) * (64 // count)) > 64 and count < 2 * radius + 2:
+    while distinct >> ((count - radius) * (64 // count)) > members and count < 2 * radius + 2:
         count += 1
     return count
 
 
-def _shard_keys(fp: Column, count: int, radius: int) -> Column:
-    keys = []
-    for number, choice in enumerate(_blocks(count, radius)):
-        mask = sum(((1 << width) - 1) << shift for shift, width in choice)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.struct(F.lit(number).alias("choice"), fp.bitwiseAND(F.lit(signed)).alias("bits")))
-    return F.array(*keys)
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, searches: int = SEARCHES) -> DataFrame:
+def deal(distinct: DataFrame, radius: int = RADIUS, most: int = MOST_MEMBERS) -> DataFrame:
+    """(fp, mask, bits): the shards (mask, bits) of each fingerprint, of two members at least and ``most`` at most."""
+    spark = distinct.sparkSession
+    masks = agreeing(list(range(64)), block_count(distinct.count(), radius), radius)
+    fp = F.col("fp")
+    keys = F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), fp.bitwiseAND(F.lit(_signed(m))).alias("bits")) for m in masks])
+    now = distinct.select("fp", F.explode(keys).alias("s")).select("fp", "s.*")
+    parts = []
+    while True:
+        sizes = materialize(now.groupBy("mask", "bits").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        large = (F.col("size") > most) & (F.bit_count("mask") < 64 - radius)
+        parts.append(now.join(sizes.where(~large), ["mask", "bits"]).select("fp", "mask", "bits"))
+        hot = sizes.where(large)
+        # masks, not shards: their number is bounded by the ways to choose blocks, whatever the corpus
+        masks = [r.mask for r in hot.select("mask").distinct().collect()]
+        if not masks:
+            return reduce(DataFrame.unionByName, parts)
+        wider = [(m, _signed(w)) for m in masks for w in again(m % (1 << 64), radius)]
+        table = F.broadcast(spark.createDataFrame(wider, "mask long, wider long"))
+        members = now.join(hot, ["mask", "bits"]).select("fp", "mask")
+        dealt = members.join(table, "mask").select("fp", F.col("wider").alias("mask"), fp.bitwiseAND(F.col("wider")).alias("bits"))
+        now = materialize(dealt.distinct(), "again")  # two masks can widen to one
+
+
+def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, most: int = MOST_MEMBERS) -> DataFrame:
     """(a, b): links that connect the fingerprints of ``distinct`` (fp long) within ``radius`` bits of each other."""
-    count = block_count(distinct.count(), radius)
-    dealt = distinct.select("fp", F.explode(_shard_keys(F.col("fp"), count, radius)).alias("s")).select("fp", "s.*")
-    sizes = dealt.groupBy("choice", "bits").count().where("count > 1")
-    shared = (
-        dealt.join(sizes, ["choice", "bits"])
-        .withColumn("parts", F.ceil(F.col("count") / F.lit(searches)).cast("int"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(
-            "fp",
-            F.xxhash64("choice", "bits", "part").alias("shard"),
-            (F.pmod(F.xxhash64("fp"), F.col("parts")) == F.col("part")).alias("search"),
-        )
-    )
+    shared = deal(distinct, radius, most).select("fp", F.xxhash64("mask", "bits").alias("shard"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        count = 0
 
         def out(rows):
             a, b = shard_links(*rows, radius)
@@ -197,12 +212,13 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, searches: int =
             return tuple(np.concatenate(x) for x in zip(*held))
 
         for batch in batches:
-            fp, shard, search = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            held.append((fp.astype(np.int64).view(np.uint64), shard, search))
-            if sum(len(x[0]) for x in held) >= 200_000:
+            fp, shard = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+            held.append((fp.view(np.uint64), shard))
+            count += len(fp)
+            if count >= HELD:
                 rows = joined()
                 last = int(np.searchsorted(rows[1], rows[1][-1]))  # where the shard that may go on begins
-                held = [tuple(x[last:] for x in rows)]
+                held, count = [tuple(x[last:] for x in rows)], len(rows[1]) - last
                 if last:
                     yield out(tuple(x[:last] for x in rows))
         if held:
@@ -212,7 +228,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, searches: int =
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, searches: int = SEARCHES
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, most: int = MOST_MEMBERS
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``docs``.
 
@@ -224,7 +240,7 @@ def near_duplicates(
     """
     prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    nodes = connected_components(fingerprint_links(distinct.select("fp"), radius, searches))
+    nodes = connected_components(fingerprint_links(distinct.select("fp"), radius, most))
     grouped = distinct.join(nodes, distinct.fp == nodes.node, "left").select(
         "fp", "first_id", F.coalesce("component", "fp").alias("root")
     )
@@ -238,17 +254,18 @@ def near_duplicates(
 def keep_first(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id names their component, once each; a row without an id stays.
 
-    Blank texts, whose fingerprint is zero, are grouped like any other. Among rows with one id the one with the smallest text hash stays; equal rows count as one.
+    Null and blank texts, whose fingerprint is zero, are grouped like any other; texts of any length are taken whole.
+    Among rows with one id the one with the smallest hash stays; equal rows count as one. An empty table gives no row.
+    Rows pass as one struct, so that no column's name can clash.
     """
-    own, key = F.col(f"`{id_col}`"), "_stays_id"
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"))
     groups = near_duplicates(docs, id_col, text_col, radius)
-    stays = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("_rows"))
+    stays = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"))
     stays = materialize(stays, "stays")
-    single, several = (stays.where(c).select(key) for c in ("_rows = 1", "_rows > 1"))
+    single, several = (stays.where(c).select("id") for c in ("n = 1", "n > 1"))
     # ids grow with the corpus, so they are never broadcast, however few: rows are dealt by id at every size
-    kept = docs.join(single.hint("merge"), own == F.col(key), "left_semi")
+    kept = rows.join(single.hint("merge"), "id", "left_semi").select("row")
     if not several.isEmpty():
-        rows = docs.join(several, own == F.col(key), "left_semi")
-        first = rows.groupBy(own).agg(F.min_by(F.struct("*"), F.xxhash64("*")).alias("_row"))
-        kept = kept.unionByName(first.select("_row.*"))
-    return kept.unionByName(docs.where(own.isNull()))
+        first = rows.join(several, "id", "left_semi").groupBy("id").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        kept = kept.unionByName(first.select("row"))
+    return kept.unionByName(rows.where("id is null").select("row")).select("row.*")

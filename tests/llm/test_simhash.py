@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from fieldshift.llm import simhash
 
@@ -61,10 +62,54 @@ def test_tree_search_equals_all_pairs():
 def test_block_choices_share_a_block():
     rng = random.Random(4)
     for count in (4, 5, 6, 8):
-        choices = simhash._blocks(count, 3)
+        masks = simhash.agreeing(list(range(64)), count, 3)
         for _ in range(200):
             flips = sum(1 << b for b in rng.sample(range(64), 3))
-            assert any(not flips & sum(((1 << w) - 1) << s for s, w in c) for c in choices)
+            assert any(not flips & m for m in masks)
+            mask, depth = next(m for m in masks if not flips & m), 0
+            while wider := simhash.again(mask, 3):  # dealt anew until no bits are left, the pair stays together
+                mask, depth = next(m for m in wider if not flips & m), depth + 1
+                assert all(w & m == m for m in [mask] for w in simhash.again(mask, 3))
+            assert mask.bit_count() >= 61 and depth < 30
+
+
+def test_a_hot_shard_is_dealt_into_bounded_trees(spark):
+    """50,000 fingerprints that share 40 bits, by which any choice of blocks would put a third of them in one shard."""
+    rng = np.random.default_rng(9)
+    low = rng.choice(1 << 24, 50_000, replace=False).astype(np.uint64)
+    points = np.concatenate([low | np.uint64(0xABCDEF1234 << 24), rng.integers(0, 1 << 64, 1000, dtype=np.uint64)])
+    distinct = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long").repartition(4).cache()
+    most = 2000
+    sizes = simhash.deal(distinct, most=most).groupBy("mask", "bits").count()
+    shape = sizes.selectExpr("max(count) m", "sum(count) s").first()
+    assert shape.m <= most and shape.s < 100 * len(points)
+    links = {(r.a, r.b) for r in simhash.fingerprint_links(distinct, most=most).collect()}
+    label = {int(p): int(p) for p in points.view(np.int64)}
+
+    def find(i):
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    def join(a, b):
+        x, y = sorted((find(a), find(b)))
+        label[y] = x
+
+    for a, b in links:
+        assert bin((a ^ b) & ((1 << 64) - 1)).count("1") >= 1
+        join(a, b)
+    got = {i: find(i) for i in label}
+    label = {i: i for i in label}
+    ordered = np.sort(low)  # all pairs within 3 bits: by flipping each set of 3 of the 24 bits that differ
+    one = [1 << i for i in range(24)]
+    for flip in one + [a | b for i, a in enumerate(one) for b in one[:i]] + [a | b | c for i, a in enumerate(one) for j, b in enumerate(one[:i]) for c in one[:j]]:
+        other = ordered ^ np.uint64(flip)
+        at = np.minimum(np.searchsorted(ordered, other), len(ordered) - 1)
+        for a, b in zip(ordered[ordered[at] == other], other[ordered[at] == other]):
+            if a < b:
+                join(*(int((x | np.uint64(0xABCDEF1234 << 24)).view(np.int64)) for x in (a, b)))
+    assert got == {i: find(i) for i in label}
 
 
 def test_near_duplicates_against_all_pairs(spark):
@@ -82,8 +127,8 @@ def test_near_duplicates_against_all_pairs(spark):
     rows = [(i, t, "x") for i, t in texts.items()]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     want_prints = {i: slow_print(t) for i, t in texts.items()}
-    for searches in (simhash.SEARCHES, 8):
-        got = {r.doc_id: r for r in simhash.near_duplicates(docs, searches=searches).collect()}
+    for most in (simhash.MOST_MEMBERS, 8):
+        got = {r.doc_id: r for r in simhash.near_duplicates(docs, most=most).collect()}
         assert {i: int(r.fingerprint, 16) for i, r in got.items()} == want_prints
         assert {i: r.component_id for i, r in got.items()} == groups(want_prints)
         assert all(len(r.fingerprint) == 16 for r in got.values())
@@ -108,7 +153,7 @@ def test_query_equals_all_pairs(spark):
 
 def test_keep_first(spark):
     rows = [(3, "a b c d e", "x"), (1, "a b c d e", "y"), (2, "f g h i j k", "z"), (1, "a b c d e", "q"), (None, "a b c d e", "n"), (4, None, "b")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string").withColumns({c: F.lit(c) for c in ("_stays_id", "id", "row", "n", "_rows", "fp", "component_id")})
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
     got = kept.collect()
