@@ -16,10 +16,12 @@ clusters that may hold a point linked to it.
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +44,10 @@ TINY = 1e-9
 ROUNDING = 1e-4
 #: Searches by one task.
 SEARCHES = 4096
-#: Audited points and the least recall.
-AUDITED, LEAST_RECALL = 256, 0.95
+#: Points audited at first and at most, the true links between distinct points that measure recall, and the least recall.
+AUDITED, MOST_AUDITED, MEASURED, LEAST_RECALL = 256, 4096, 200, 0.95
+
+log = logging.getLogger(__name__)
 
 
 def robust_prune(x: np.ndarray, owners: np.ndarray, near: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
@@ -186,8 +190,13 @@ class Graph:
         return sims
 
 
-def _unit(vectors: list) -> np.ndarray:
-    x = np.array(vectors, np.float64)
+def _unit(vectors: pa.Array | pa.ChunkedArray | list) -> np.ndarray:
+    """Vectors of one length, none of them zero, as rows of length 1."""
+    if isinstance(vectors, list):
+        x = np.array(vectors, np.float64)
+    else:
+        whole = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+        x = whole.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), -1)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
@@ -254,19 +263,24 @@ def _link(found: DataFrame, threshold: float, margin: float | None, shard: int,
 
     def deal(batches):
         for batch in batches:
-            rows = []
-            for label, vector, point, n in zip(*[c.to_pylist() for c in batch.columns]):
-                own = centres.value.get((label, len(vector)))
-                if own is None:
-                    rows.append((label, len(vector), 0, point, n, vector, True))
-                    continue
-                near = own @ _unit([vector])[0]
-                best = int(np.argmax(near))
-                reach = margin if margin is not None else apart * np.linalg.norm(own - own[best], axis=1) + TINY
-                rows += [(label, len(vector), int(c), point, n, vector, int(c) == best) for c in np.flatnonzero(near >= near[best] - reach)]
-            columns = list(zip(*rows)) or [[]] * 7
-            kinds = [batch.column(0).type, pa.int32(), pa.int32(), pa.int64(), pa.int64(), batch.column(1).type, pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            label, vector, point, n = batch.columns
+            widths = vector.value_lengths().to_numpy(zero_copy_only=False)
+            keys = np.unique(np.stack([pc.dictionary_encode(label).indices.to_numpy(), widths]), axis=1, return_inverse=True)[1].reshape(-1)
+            for key in range(int(keys.max(initial=-1)) + 1):
+                at = np.flatnonzero(keys == key)
+                width = int(widths[at[0]])
+                own = centres.value.get((label[int(at[0])].as_py(), width))
+                rows, cells, mine = at, np.zeros(len(at), np.int32), np.ones(len(at), bool)
+                if own is not None:
+                    near = _unit(vector.take(pa.array(at))) @ own.T
+                    best = np.argmax(near, axis=1)
+                    apart_from = np.sqrt(np.maximum(0, 2 - 2 * own @ own.T)) if margin is None else None
+                    reach = margin if margin is not None else apart * apart_from[best] * 1.0001 + TINY
+                    row, cell = np.nonzero(near >= near[np.arange(len(at)), best][:, None] - reach)
+                    rows, cells, mine = at[row], cell.astype(np.int32), best[row] == cell
+                taken = batch.take(pa.array(rows))
+                columns = [taken.column(0), pa.array(np.full(len(rows), width, np.int32)), pa.array(cells), taken.column(2), taken.column(3), taken.column(1), pa.array(mine)]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["label", "width", "cell", "point", "n", "vector", "own"]
     dealt = materialize(
@@ -278,7 +292,7 @@ def _link(found: DataFrame, threshold: float, margin: float | None, shard: int,
 
     def build(table: pa.Table) -> pa.Table:
         point = table.column("point").to_numpy()
-        a, b, cut = flat_graph(_unit(table.column("vector").to_pylist()), threshold=threshold)
+        a, b, cut = flat_graph(_unit(table.column("vector")), threshold=threshold)
         ends = np.searchsorted(np.sort(a), np.arange(len(point) + 1))
         b = point[b[np.argsort(a, kind="stable")]]
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(b))
@@ -303,7 +317,7 @@ def _link(found: DataFrame, threshold: float, margin: float | None, shard: int,
         point = table.column("point").to_numpy()
         order = np.argsort(point)
         point, count = point[order], table.column("n").to_numpy()[order]
-        x = _unit(table.column("vector").to_pylist())[order]
+        x = _unit(table.column("vector"))[order]
         near = table.column("near").combine_chunks().take(pa.array(order))
         a, to = np.repeat(np.arange(len(point)), near.value_lengths().to_numpy(zero_copy_only=False)), near.flatten().to_numpy()
         b = np.searchsorted(point, to)
@@ -327,17 +341,28 @@ def _link(found: DataFrame, threshold: float, margin: float | None, shard: int,
     return ready.groupBy("label", "width", "cell", "part").applyInArrow(search, "point long, links long, pairs long, root long")
 
 
-def audit(found: DataFrame, linked: DataFrame, threshold: float = THRESHOLD, audited: int = AUDITED) -> float:
-    """Share of the pairs of distinct points truly linked, for a sample of points, that ``linked`` (point, pairs) counts.
+def audit(
+    found: DataFrame, linked: DataFrame, threshold: float = THRESHOLD, audited: int = AUDITED, most: int = MOST_AUDITED, measured: int = MEASURED
+) -> tuple[float, int]:
+    """The share of the pairs of distinct points truly linked that ``linked`` (point, pairs) counts, and how many were seen.
 
-    Copies of a point count nothing, neither its own nor those of others. Where ``linked`` has only links, which count
-    rows, a point's own copies are left out and the share is that of rows. The sample, the points with the smallest
-    hashes, is compared with every point, in blocks where they lie.
+    The points with the smallest hashes are compared with every point, in blocks where these lie: ``audited`` of them, and
+    four times as many again while fewer than ``measured`` true pairs are seen, up to ``most``. Copies of a point count
+    nothing, neither its own nor those of others. Where no pair is seen, the share is 1 of none: recall is not measured.
     """
-    rows = found.orderBy(F.xxhash64("point", F.lit(1))).limit(audited).select("label", "vector", "point", "n").collect()
-    if not rows:
-        return 1.0
-    by_pairs = "pairs" in linked.columns
+    while True:
+        rows = found.orderBy(F.xxhash64("point", F.lit(1))).limit(audited).select("label", "vector", "point").collect()
+        got, true = _audited(found, linked, rows, threshold)
+        if true >= measured or len(rows) < audited or audited >= most:
+            break
+        audited = min(most, 4 * audited)
+    log.info("recall %.4f over %d true pairs of %d points", got / true if true else 1.0, true, len(rows))
+    if not true:
+        log.warning("recall is not measured: no true pair among %d points", len(rows))
+    return (got / true if true else 1.0), true
+
+
+def _audited(found: DataFrame, linked: DataFrame, rows: list, threshold: float) -> tuple[int, int]:
     groups: dict = {}
     for r in rows:
         groups.setdefault((r.label, len(r.vector)), []).append(r)
@@ -346,25 +371,22 @@ def audit(found: DataFrame, linked: DataFrame, threshold: float = THRESHOLD, aud
 
     def count(batches):
         for batch in batches:
-            by_key: dict = {}
-            for label, vector, point, n in zip(*[c.to_pylist() for c in batch.columns]):
-                if (label, len(vector)) in shared.value:
-                    by_key.setdefault((label, len(vector)), []).append((vector, point, n))
-            out = []
-            for key, own in by_key.items():
-                x, ids = shared.value[key]
-                near = _unit([v for v, _, _ in own]) @ x.T >= threshold
-                point, n = np.array([p for _, p, _ in own]), np.array([c for _, _, c in own])
-                near &= point[:, None] != ids
-                true = (near * (1 if by_pairs else n[:, None])).sum(axis=0)
-                out += zip(ids.tolist(), true.tolist())
+            label, vector, point = batch.columns
+            names, widths = pc.dictionary_encode(label), vector.value_lengths().to_numpy(zero_copy_only=False)
+            codes, ids, out = names.indices.to_numpy(), point.to_numpy(), []
+            for (name, width), (x, asked) in shared.value.items():
+                code = names.dictionary.index(pa.scalar(name, names.dictionary.type)).as_py()
+                at = np.flatnonzero((codes == code) & (widths == width))
+                if len(at):
+                    near = _unit(vector.take(pa.array(at))) @ x.T >= threshold
+                    near &= ids[at][:, None] != asked
+                    out += zip(asked.tolist(), near.sum(axis=0).tolist())
             columns = list(zip(*out)) or [[], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["point", "true"])
 
-    true = found.select("label", "vector", "point", "n").mapInArrow(count, "point long, true long").groupBy("point").agg(F.sum("true").alias("true"))
-    counted = linked.select("point", F.col("pairs").alias("got")) if by_pairs else linked.join(found, "point").select("point", (F.col("links") - F.col("n") + 1).alias("got"))
-    got = true.join(counted, "point", "left").agg(F.sum(F.coalesce("got", F.lit(0))), F.sum("true")).first()
-    return got[0] / got[1] if got[1] else 1.0
+    true = found.select("label", "vector", "point").mapInArrow(count, "point long, true long").groupBy("point").agg(F.sum("true").alias("true"))
+    got = true.join(linked.select("point", "pairs"), "point", "left").agg(F.sum(F.least(F.coalesce("pairs", F.lit(0)), F.col("true"))), F.sum("true")).first()
+    return got[0] or 0, got[1] or 0
 
 
 def near_duplicates(
@@ -388,7 +410,7 @@ def near_duplicates(
     for reach in (margin, None):
         linked = materialize(_link(found, threshold, reach, shard, searches), "links")
         counts = linked.where("links is not null").select("point", "links", "pairs")
-        if reach is None or audit(found, counts.drop("links"), threshold) >= LEAST_RECALL:
+        if reach is None or audit(found, counts, threshold)[0] >= LEAST_RECALL:
             break
     nodes = connected_components(linked.where("links is null").select("point", "root"))
     named = (

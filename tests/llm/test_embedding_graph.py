@@ -79,8 +79,21 @@ def test_pruning_drops_what_a_kept_neighbour_covers():
 def test_audit_sees_missing_links(spark):
     rows = some_rows(200)
     found = g.points(spark.createDataFrame(rows, SCHEMA))
-    nothing = found.selectExpr("point", "n - 1 as links")
-    assert g.audit(found, nothing) < 0.9
+    nothing = found.selectExpr("point", "cast(0 as long) as pairs")
+    share, seen = g.audit(found, nothing)
+    assert share == 0 and seen > 0
+
+
+def test_audit_goes_on_until_it_has_seen_enough_links(spark):
+    """Two of 3,000 points are linked: a small sample sees no link, a larger one does, and none at all is told."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 32))
+    x[1] = x[0] + 0.01 * rng.normal(size=32)
+    found = g.points(spark.createDataFrame([(i, 0, v.tolist(), "x") for i, v in enumerate(x)], SCHEMA)).cache()
+    zero = found.selectExpr("point", "cast(0 as long) as pairs")
+    assert g.audit(found, zero, audited=8) == (0.0, 2)
+    assert g.audit(found, found.selectExpr("point", "cast(if(point < 2, 1, 0) as long) as pairs"), audited=8) == (1.0, 2)
+    assert g.audit(found.where("point > 1"), zero, audited=8, most=64) == (1.0, 0)
 
 
 def test_empty(spark):
@@ -133,8 +146,6 @@ def test_audit_leaves_copies_out(spark):
     rows = [(i, 0, (np.ones(8) + 0.02 * rng.normal(size=8)).tolist(), "x") for i in range(12)]
     rows += [(100 + i, 0, rows[0][2], "x") for i in range(3000)] + [(5000 + i, 1, [1.0, 0.0], "x") for i in range(3000)]
     found = g.points(spark.createDataFrame(rows, SCHEMA)).cache()
-    assert g.audit(found, found.selectExpr("point", "n - 1 as links")) == 0
-    assert g.audit(found, found.selectExpr("point", "n - 1 as links", "cast(0 as long) as pairs")) == 0
-    half = found.selectExpr("point", "n - 1 as links", "cast(if(point < 6, 11, 0) as long) as pairs")
-    assert g.audit(found, half) == 0.5
-    assert g.audit(found, g._link(found, g.THRESHOLD, g.MARGIN, g.SHARD, g.SEARCHES).where("links is not null")) == 1
+    assert g.audit(found, found.selectExpr("point", "cast(0 as long) as pairs")) == (0, 132)
+    assert g.audit(found, found.selectExpr("point", "cast(if(point < 6, 11, 0) as long) as pairs")) == (0.5, 132)
+    assert g.audit(found, g._link(found, g.THRESHOLD, g.MARGIN, g.SHARD, g.SEARCHES).where("links is not null")) == (1, 132)
