@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .functions.grid import covering_grid, to_utm
+from .functions.grid import CRS, covering_grid, project, project_box
 from .operators import alignment, pixels
 from .operators.quality import InputError, require_raster
 from .plans.analysis import Analysis
@@ -22,14 +22,13 @@ LOG = logging.getLogger("fieldshift")
 def analyse(spark: SparkSession, folder: Path, out: Path) -> Analysis:
     inputs = layout.find_inputs(folder)
     polygons, crs = layout.read_boundary(inputs.boundary)
-    if crs == "EPSG:4326":
-        polygons = [[list(zip(*(v.tolist() for v in to_utm(*map(_array, zip(*ring)))))) for ring in rings] for rings in polygons]
+    polygons = [[list(zip(*(v.tolist() for v in project(*zip(*ring), crs, CRS)))) for ring in rings] for rings in polygons]
     xs, ys = zip(*[p for rings in polygons for ring in rings for p in ring])
     grid, edges = covering_grid(min(xs), min(ys), max(xs), max(ys)), alignment.rings_frame(spark, polygons)
     bands = {}
     for key, path in inputs.rasters.items():
         cells, (_, source, _) = geotiff.read(spark, str(path)), geotiff.describe(spark, str(path))[0]
-        require_raster(cells, "value", source, grid.bounds if source.crs == grid.crs else None)
+        require_raster(cells, "value", source, project_box(grid.bounds, grid.crs, source.crs))
         bands[key] = alignment.clip(alignment.resample(cells, source, grid), edges, grid)
     first, second = layout.YEARS
     if inputs.kind == "bands":
@@ -60,12 +59,6 @@ def analyse(spark: SparkSession, folder: Path, out: Path) -> Analysis:
     return analysis
 
 
-def _array(values):
-    import numpy as np
-
-    return np.array(values, float)
-
-
 def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="fieldshift", description=__doc__)
     parser.add_argument("--input", type=Path, required=True)

@@ -21,7 +21,7 @@ ECCENTRICITY2 = FLATTENING * (2 - FLATTENING)
 
 @dataclass(frozen=True)
 class Grid:
-    """A north-up grid: the upper left corner, cell sizes, and the number of rows and columns."""
+    """A north-up grid: the upper left corner, cell sizes, the number of rows and columns, and metres in a unit."""
 
     left: float
     top: float
@@ -30,6 +30,7 @@ class Grid:
     width: int
     height: int
     crs: str = CRS
+    metres: float = 1.0
 
     def __post_init__(self) -> None:
         if not all(map(math.isfinite, (self.left, self.top, self.cell_x, self.cell_y))):
@@ -39,7 +40,7 @@ class Grid:
 
     @property
     def cell_area(self) -> float:
-        return abs(self.cell_x * self.cell_y)
+        return abs(self.cell_x * self.cell_y) * self.metres**2
 
     @property
     def cell_size(self) -> float:
@@ -155,6 +156,41 @@ def from_utm(easting, northing, crs: str = CRS):
     return meridian + np.degrees(np.arctan2(np.sinh(eta), np.cos(xi))), np.degrees(np.arctan(tau))
 
 
+def to_degrees(x, y, crs: str):
+    """Longitude and latitude of arrays of coordinates: degrees, UTM on WGS 84, or spherical Mercator."""
+    if crs == "EPSG:4326":
+        return np.asarray(x, float), np.asarray(y, float)
+    if crs == "EPSG:3857":
+        return np.degrees(np.asarray(x) / AXIS), np.degrees(np.arctan(np.sinh(np.asarray(y) / AXIS)))
+    return from_utm(x, y, crs)
+
+
+def from_degrees(longitude, latitude, crs: str):
+    """The reverse of :func:`to_degrees`."""
+    if crs == "EPSG:4326":
+        return np.asarray(longitude, float), np.asarray(latitude, float)
+    if crs == "EPSG:3857":
+        return AXIS * np.radians(longitude), AXIS * np.arcsinh(np.tan(np.radians(latitude)))
+    return to_utm(longitude, latitude, crs)
+
+
+def project(x, y, source: str, target: str):
+    """Coordinates taken from one system to another; ValueError for a system that isn't known."""
+    if source == target:
+        return np.asarray(x, float), np.asarray(y, float)
+    return from_degrees(*to_degrees(np.asarray(x, float), np.asarray(y, float), source), target)
+
+
+def project_box(box: tuple[float, float, float, float], source: str, target: str, steps: int = 33) -> tuple[float, float, float, float]:
+    """The box around a box's edges in another system: left, bottom, right, top."""
+    left, bottom, right, top = box
+    xs, ys = np.linspace(left, right, steps), np.linspace(bottom, top, steps)
+    edge_x = np.concatenate([xs, xs, np.full(steps, left), np.full(steps, right)])
+    edge_y = np.concatenate([np.full(steps, bottom), np.full(steps, top), ys, ys])
+    x, y = project(edge_x, edge_y, source, target)
+    return float(x.min()), float(y.min()), float(x.max()), float(y.max())
+
+
 def nice_length(length: float) -> float:
     """The largest of 1, 2 or 5 times a power of ten that is not above ``length``; 1 for no length."""
     if length <= 0:

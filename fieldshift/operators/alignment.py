@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.grid import Grid, from_utm
+from ..functions.grid import Grid, project
 
 Ring = Sequence[tuple[float, float]]
 
@@ -66,14 +66,13 @@ def _sources(targets: DataFrame, source: Grid, target: Grid) -> DataFrame:
     placed = targets.withColumn("sx", target.x(F.col("col"))).withColumn("sy", target.y(F.col("row")))
     if source.crs == target.crs:
         return placed
-    if source.crs != "EPSG:4326":
-        raise ValueError(f"no way from {target.crs} to {source.crs}")
-    crs = target.crs
+    here, there = target.crs, source.crs
+    project([500000.0], [0.0], here, there)  # an unknown system is told before any task runs
 
     def locate(frames):
         for frame in frames:
-            lon, lat = from_utm(frame["sx"].to_numpy(float), frame["sy"].to_numpy(float), crs)
-            yield frame.assign(sx=lon, sy=lat)
+            x, y = project(frame["sx"].to_numpy(float), frame["sy"].to_numpy(float), here, there)
+            yield frame.assign(sx=x, sy=y)
 
     return placed.mapInPandas(locate, placed.schema)
 

@@ -14,6 +14,7 @@ from ..functions.grid import Grid
 from ..functions.rules import INDEX_RULES, midpoint
 from ..sources.scratch import few, written
 from .focal import window_means
+from .ranks import percentiles, ranked
 
 # Fixed values.
 SCORE = {"influence": 0.45, "capacity": 0.25, "loss_around": 0.20, "variability": 0.10}
@@ -26,14 +27,13 @@ SCENARIOS = ("new_development", "stable_urban", "stable_green", "degradation", "
 def scenario_references(cells: DataFrame) -> DataFrame:
     """One row: median second-date index of stable_urban and of stable_green (of all, where one has no cell), and the
     ceiling halfway between them."""
-    x = F.col("ndvi_target").cast("double")
-
-    def middle(name: str) -> Column:
-        return F.median(F.when(F.col("scenario") == name, x))
-
-    whole = F.coalesce(F.median(x), F.lit(0.0))
-    found = cells.agg(F.coalesce(middle("stable_urban"), whole).alias("urban"), F.coalesce(middle("stable_green"), whole).alias("green"))
-    return found.withColumn("ceiling", (F.col("urban") + F.col("green")) / 2)
+    known = F.when(F.col("scenario").isin("stable_urban", "stable_green"), F.col("scenario"))
+    groups = F.explode(F.array_compact(F.array(F.lit("all"), known))).alias("group")
+    found = percentiles(cells.select(groups, "ndvi_target"), ["group"], "ndvi_target", [0.5])
+    middle = lambda name: F.max(F.when(F.col("group") == name, F.col("p")[0]))
+    whole = F.coalesce(middle("all"), F.lit(0.0))
+    table = found.agg(F.coalesce(middle("stable_urban"), whole).alias("urban"), F.coalesce(middle("stable_green"), whole).alias("green"))
+    return table.withColumn("ceiling", (F.col("urban") + F.col("green")) / 2)
 
 
 def loss(delta: Column) -> Column:
@@ -100,26 +100,45 @@ def quotas(eligible: DataFrame, probabilities: DataFrame, rising: bool) -> DataF
     return asked.withColumn("high", high).select("from_class", "to_class", "probability", "requested", (F.col("high") - F.col("requested")).alias("low"), "high")
 
 
-def select_by_quota(candidates: DataFrame, table: DataFrame, width: int, slices: int = 64) -> DataFrame:
-    """Candidates with to_class: each class ranked by score, ties by the later cell first, and cut at the quotas.
+def select_by_quota(candidates: DataFrame, table: DataFrame, width: int) -> DataFrame:
+    """Candidates with to_class: each class ranked by score, ties by the later cell first, and cut at the quotas of
+    :func:`quotas`, which has a row per pair of classes at most.
 
-    Ranks are counted within slices of the score range and offset by the slices above, so no class, however large, is
-    sorted in one task.
+    Only the score and, among cells that have it, the place at which a quota ends are looked for, by counts in ranges.
+    Every cell is then compared with its class's few cuts, so no class is sorted, however its scores are spread or tied.
     """
-    place = F.col("row").cast("long") * F.lit(width) + F.col("col")
-    edge = candidates.groupBy("class_target").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-    span = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    piece = F.coalesce(F.floor((F.col("_hi") - F.col("score")) / span * slices), F.lit(0)).cast("int")
-    sliced = candidates.join(F.broadcast(edge), "class_target").withColumn("_slice", piece).drop("_lo", "_hi")
-    sizes = sliced.groupBy("class_target", "_slice").agg(F.count("*").alias("_n"))
-    above = sizes.select(
-        "class_target", "_slice", (F.sum("_n").over(Window.partitionBy("class_target").orderBy("_slice")) - F.col("_n")).alias("_above")
+    same = F.col("class_target") == F.col("from_class")
+    placed = candidates.withColumn("_place", F.col("row").cast("long") * F.lit(width) + F.col("col"))
+    sizes = placed.groupBy("class_target").agg(F.count("*").alias("_n"))
+    ends = few(table.join(sizes, same).where("high < _n").select("class_target", "high", (F.col("_n") - F.col("high")).alias("rank")), PAIRS)
+    scores = ranked(placed.select("class_target", "score"), ["class_target"], "score", ends)
+    edges = few(ends.join(scores.withColumnRenamed("score", "edge"), ["class_target", "rank"]).select("class_target", "high", "edge"), PAIRS)
+
+    near = placed.select("class_target", "score", "_place").join(F.broadcast(edges), "class_target")
+    over = near.groupBy("class_target", "high", "edge").agg(F.count_if(F.col("score") > F.col("edge")).alias("_over"), F.count_if(F.col("score") == F.col("edge")).alias("_tied"))
+    # of the tied cells those with the largest places fill the quota
+    last = few(over.select("class_target", "high", (F.col("_tied") - (F.col("high") - F.col("_over"))).alias("rank")), PAIRS)
+    tied = near.where("score = edge").select("class_target", "high", "_place")
+    places = ranked(tied, ["class_target", "high"], "_place", last).select("class_target", "high", F.col("_place").alias("least"))
+    cuts = few(edges.join(places, ["class_target", "high"]), PAIRS)
+
+    def named(prefix: str) -> DataFrame:
+        return cuts.select(F.col("class_target").alias(f"{prefix}_class"), *[F.col(c).alias(f"{prefix}_{c}") for c in ("high", "edge", "least")])
+
+    full = (
+        table.select("from_class", "to_class", "low", "high")
+        .join(named("u"), (F.col("from_class") == F.col("u_class")) & (F.col("high") == F.col("u_high")), "left")
+        .join(named("d"), (F.col("from_class") == F.col("d_class")) & (F.col("low") == F.col("d_high")), "left")
     )
-    order = Window.partitionBy("class_target", "_slice").orderBy(F.desc("score"), F.desc(place))
-    ranked = sliced.withColumn("_rank", F.row_number().over(order)).join(F.broadcast(above), ["class_target", "_slice"])
-    rank = F.col("_rank") + F.col("_above")
-    joined = ranked.join(F.broadcast(table), (F.col("class_target") == F.col("from_class")) & (rank > F.col("low")) & (rank <= F.col("high")))
-    return joined.select(*candidates.columns, "to_class")
+
+    def within(prefix: str) -> Column:
+        edge = F.col(f"{prefix}_edge")
+        return (F.col("score") > edge) | ((F.col("score") == edge) & (F.col("_place") >= F.col(f"{prefix}_least")))
+
+    # a quota without an upper cut takes all that is left; one that starts where the class ends takes nothing
+    starts = F.when(F.col("low") == 0, F.lit(True)).otherwise(F.coalesce(~within("d"), F.lit(False)))
+    chosen = placed.join(F.broadcast(full), same).where(F.coalesce(within("u"), F.lit(True)) & starts)
+    return chosen.select(*candidates.columns, "to_class")
 
 
 def _moves_to(falling: bool) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.raster import FLOAT_STEP
 from ..sources.scratch import written
+from .ranks import medians as medians_of
+from .ranks import percentiles
 
 # Fixed values.
 MOST_STEPS, LEAST_SHIFT = 100, 1e-6
@@ -121,12 +123,12 @@ def scaling(table: DataFrame, names: Sequence[str]) -> tuple[int, np.ndarray, np
         x = F.col(c).cast("double")
         return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
-    first = table.agg(F.count("*"), *[F.median(clean(c)) for c in names]).first()
-    medians = np.array([0.0 if m is None else m for m in first[1:]])
+    found = medians_of(table.withColumn("_all", F.lit(0)), ["_all"], names).first()
+    medians = np.array([0.0 if found is None or found[c] is None else found[c] for c in names])
     filled = [F.coalesce(clean(c), F.lit(float(m))) for c, m in zip(names, medians)]
     second = table.agg(*[f(x) for x in filled for f in (F.avg, F.stddev_pop)]).first()
     means, scales = (np.array([0.0 if v is None else v for v in second[i::2]]) for i in (0, 1))
-    return first[0], medians, means, np.where(scales <= FLOAT_STEP, 1.0, scales)
+    return table.count(), medians, means, np.where(scales <= FLOAT_STEP, 1.0, scales)
 
 
 def numbered(table: DataFrame, order: Sequence[str], buckets: int = 64) -> DataFrame:
@@ -177,16 +179,18 @@ FEATURES = ("ndvi_base", "ndvi_target", "delta", "abs_delta", "class_target", "c
 def pixel_cluster_statistics(labelled: DataFrame) -> DataFrame:
     """Per cluster: count and means, and the median of the second date."""
     mean = lambda c, name: F.avg(c).alias(name)
-    return labelled.groupBy("cluster").agg(
+    labelled = written(labelled.select("cluster", *FEATURES), "labelled")  # so that labels are worked out once
+    middle = percentiles(labelled, ["cluster"], "ndvi_target", [0.5]).select("cluster", F.col("p")[0].alias("median_ndvi_target"))
+    sums = labelled.groupBy("cluster").agg(
         F.count("*").alias("pixel_count"),
         mean("ndvi_base", "mean_ndvi_base"),
         mean("ndvi_target", "mean_ndvi_target"),
-        F.median("ndvi_target").alias("median_ndvi_target"),
         mean("delta", "mean_delta"),
         mean("abs_delta", "mean_abs_delta"),
         mean("class_target", "mean_class_target"),
         mean("class_delta", "mean_class_delta"),
     )
+    return sums.join(F.broadcast(middle), "cluster", "left")
 
 
 def region_cluster_statistics(features: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import raster
 from ..functions.grid import Grid
 from ..functions.rules import INDEX_RULES
+from .ranks import medians, percentiles_of_all
 
 # What a region's influence is made of.
 WEIGHTS = {
@@ -148,7 +149,6 @@ def zonal_statistics(cells: DataFrame, pixels: DataFrame) -> DataFrame:
         x = F.col(column).cast("double")
         aggregates += [
             F.avg(x).alias(f"mean_{name}"),
-            F.median(x).alias(f"median_{name}"),
             F.when(F.count(x) > 1, F.stddev_samp(x)).alias(f"std_{name}"),
             F.min(x).alias(f"min_{name}"),
             F.max(x).alias(f"max_{name}"),
@@ -156,35 +156,71 @@ def zonal_statistics(cells: DataFrame, pixels: DataFrame) -> DataFrame:
     aggregates += [
         F.avg((F.col("class_target") == r.class_id).cast("double")).alias(f"class_{r.class_id}_share") for r in INDEX_RULES
     ]
-    return inside.groupBy("region_id").agg(*aggregates)
+    names = {"ndvi_base": "median_ndvi_base", "ndvi_target": "median_ndvi_target", "delta": "median_delta_ndvi"}
+    middle = medians(inside, ["region_id"], list(names)).withColumnsRenamed(names)
+    return inside.groupBy("region_id").agg(*aggregates).join(F.broadcast(middle), "region_id", "left")
 
 
-def around(cells: DataFrame, reach: DataFrame, grid: Grid, bins: int = 256) -> DataFrame:
-    """(region_id, row, col, square_gap, centre_gap): cells within each region's reach of its area.
+#: Rows of cells whose distances one call of Python works out.
+BAND = 16
+
+
+def around(cells: DataFrame, reach: DataFrame, grid: Grid) -> DataFrame:
+    """(region_id, row, col, reach, square_gap, centre_gap): cells within each region's reach of its area.
 
     ``square_gap`` is the distance from a cell's centre to the region's area, ``centre_gap`` to its nearest cell centre,
-    both in metres. Region rows are runs; each is dealt to the rows that it reaches, so distances join on rows.
+    both in metres. Distances separate: down each column of a region every row in reach learns how many rows the nearest
+    cell of that column is away, once; along each row the nearest column then follows from those numbers. So there is
+    one row per cell in reach, not one per pair of cells.
     """
-    runs = cells.withColumn("g", F.col("col") - F.row_number().over(Window.partitionBy("region_id", "row").orderBy("col")))
-    runs = runs.groupBy("region_id", "row", "g").agg(F.min("col").alias("a"), F.max("col").alias("b"))
+    far = reach.select("region_id", "reach")
+    over = Window.partitionBy("region_id", "col").orderBy("row")
+    runs = cells.select("region_id", "row", "col", (F.col("row") - F.row_number().over(over)).alias("g"))
+    runs = runs.groupBy("region_id", "col", "g").agg(F.min("row").alias("a"), F.max("row").alias("b"))
+    over = Window.partitionBy("region_id", "col").orderBy("a")
     rows = F.ceil(F.col("reach") / grid.cell_y + 1).cast("int")
-    columns = F.ceil(F.col("reach") / grid.cell_x + 1).cast("int")
-    spread = (
-        runs.join(F.broadcast(reach.select("region_id", "reach")), "region_id")
-        .withColumn("row2", F.explode(F.sequence(F.greatest(F.col("row") - rows, F.lit(0)), F.least(F.col("row") + rows, F.lit(grid.height - 1)))))
-        .withColumn("first", F.greatest(F.col("a") - columns, F.lit(0)))
-        .withColumn("last", F.least(F.col("b") + columns, F.lit(grid.width - 1)))
-    )
-    merged = spread.select("region_id", "reach", F.col("row2").alias("row"), F.col("row").alias("run_row"), "a", "b", F.explode(F.sequence("first", "last")).alias("col"))
-    across = F.greatest(F.col("a") - F.col("col"), F.col("col") - F.col("b"), F.lit(0)).cast("double")
-    down = F.abs(F.col("row") - F.col("run_row")).cast("double")
-    gap_x, gap_y = (F.greatest(v - 0.5, F.lit(0.0)) * size for v, size in ((across, grid.cell_x), (down, grid.cell_y)))
-    centre = F.sqrt(F.pow(across * grid.cell_x, 2) + F.pow(down * grid.cell_y, 2))
-    return (
-        merged.groupBy("region_id", "row", "col", "reach")
-        .agg(F.min(F.sqrt(gap_x * gap_x + gap_y * gap_y)).alias("square_gap"), F.min(centre).alias("centre_gap"))
-        .where("square_gap <= reach")
+    # a run's rows end where the next run is nearer; the row halfway goes to the upper one
+    before, after = F.lag("b").over(over), F.lead("a").over(over)
+    first = F.greatest(F.col("a") - F.col("rows"), F.lit(0), F.coalesce(F.floor((before + F.col("a")) / 2).cast("int") + 1, F.lit(0)))
+    last = F.least(F.col("b") + F.col("rows"), F.lit(grid.height - 1), F.coalesce(F.floor((F.col("b") + after) / 2).cast("int"), F.lit(grid.height - 1)))
+    down = (
+        runs.join(F.broadcast(far), "region_id")
+        .withColumn("rows", rows)
+        .select("region_id", "reach", "col", "a", "b", first.alias("first"), last.alias("last"))
+        .where("first <= last")
+        .select("region_id", "reach", "col", "a", "b", F.explode(F.sequence("first", "last")).alias("row"))
+        .select("region_id", "reach", "row", "col", F.greatest(F.col("a") - F.col("row"), F.col("row") - F.col("b"), F.lit(0)).alias("steps"))
     )
+    cx, cy, width = grid.cell_x, grid.cell_y, grid.width
+
+    def across(table):
+        import pyarrow as pa
+
+        region, reached = table.column("region_id")[0].as_py(), table.column("reach")[0].as_py()
+        row, col, steps = (table.column(c).to_numpy() for c in ("row", "col", "steps"))
+        most = math.ceil(reached / cx + 1)
+        left, right = max(0, int(col.min()) - most), min(width - 1, int(col.max()) + most)
+        top = int(row.min())
+        shape = int(row.max()) - top + 1, right - left + 1
+        up_square, up_centre = (np.full(shape, np.inf) for _ in range(2))
+        up_square[row - top, col - left] = (np.maximum(steps - 0.5, 0.0) * cy) ** 2
+        up_centre[row - top, col - left] = (steps * cy) ** 2
+        square, centre = np.full(shape, np.inf), np.full(shape, np.inf)
+        for d in range(min(most, shape[1] - 1) + 1):
+            gap_square, gap_centre = (max(d - 0.5, 0.0) * cx) ** 2, (d * cx) ** 2
+            for to, of in ((slice(d, None), slice(None, shape[1] - d)), (slice(None, shape[1] - d), slice(d, None))):
+                np.minimum(square[:, to], up_square[:, of] + gap_square, out=square[:, to])
+                np.minimum(centre[:, to], up_centre[:, of] + gap_centre, out=centre[:, to])
+        square, centre = np.sqrt(square), np.sqrt(centre)
+        r, c = np.nonzero(square <= reached)
+        full = lambda v, t: pa.array(np.full(len(r), v), t)
+        return pa.table({
+            "region_id": full(region, pa.int64()), "row": pa.array((r + top).astype(np.int32)), "col": pa.array((c + left).astype(np.int32)),
+            "reach": full(reached, pa.float64()), "square_gap": pa.array(square[r, c]), "centre_gap": pa.array(centre[r, c]),
+        })
+
+    bands = down.withColumn("band", F.floor(F.col("row") / BAND).cast("int"))
+    return bands.groupBy("region_id", "band").applyInArrow(across, "region_id long, row int, col int, reach double, square_gap double, centre_gap double")
 
 
 def context_features(near: DataFrame, regions: DataFrame, pixels: DataFrame, grid: Grid) -> DataFrame:
@@ -192,7 +228,7 @@ def context_features(near: DataFrame, regions: DataFrame, pixels: DataFrame, gri
 
     Green is at or above the median index of all pixels. A region without such pixels has nulls.
     """
-    middle = pixels.agg(F.median(F.col("ndvi_target").cast("double")).alias("green_from"))
+    middle = percentiles_of_all(pixels, F.col("ndvi_target"), [0.5]).select(F.col("p")[0].alias("green_from"))
     ring = near.where("centre_gap > 0").join(pixels.select("row", "col", "ndvi_target", "delta"), ["row", "col"]).crossJoin(F.broadcast(middle))
     sums = ring.groupBy("region_id").agg(
         F.avg(F.col("ndvi_target").cast("double")).alias("surrounding_mean_ndvi"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import raster
 from ..functions.rules import Rule, rule_table
+from .ranks import percentiles, percentiles_of_all
 
 HECTARE = 10_000.0
 
@@ -16,23 +17,22 @@ HECTARE = 10_000.0
 def value_statistics(cells: DataFrame, values: Sequence[str]) -> DataFrame:
     """(metric, pixel_count, mean, minimum, maximum, median, std) per column: exact median, population deviation.
 
-    All columns are unpivoted and aggregated in one pass.
+    All columns are unpivoted and aggregated in one pass; medians are found by counts.
     """
     rows = F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("x")) for v in values])).alias("m")
-    return (
-        cells.select(rows)
-        .select("m.*")
-        .where(raster.finite(F.col("x")))
-        .groupBy("metric")
+    long = cells.select(rows).select("m.*").where(raster.finite(F.col("x")))
+    middle = percentiles(long, ["metric"], "x", [0.5]).select("metric", F.col("p")[0].alias("median"))
+    sums = (
+        long.groupBy("metric")
         .agg(
             F.count("*").alias("pixel_count"),
             F.avg("x").alias("mean"),
             F.min("x").alias("minimum"),
             F.max("x").alias("maximum"),
-            F.median("x").alias("median"),
             F.stddev_pop("x").alias("std"),
         )
     )
+    return sums.join(F.broadcast(middle), "metric").select("metric", "pixel_count", "mean", "minimum", "maximum", "median", "std")
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -111,7 +111,7 @@ def display_range(cells: DataFrame, values: Sequence[str], low: float, high: flo
     ``around_zero`` makes room for the sign that is missing.
     """
     x = F.explode(F.array(*[F.col(v).cast("double") for v in values])).alias("x")
-    ends = cells.select(x).where(raster.finite(F.col("x"))).agg(F.percentile("x", F.array(F.lit(low), F.lit(high))).alias("p"))
+    ends = percentiles_of_all(cells.select(x), F.col("x"), [low, high])
     table = ends.select(F.col("p")[0].alias("vmin"), F.col("p")[1].alias("vmax"))
     if around_zero:
         table = table.withColumn(

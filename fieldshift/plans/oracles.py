@@ -211,6 +211,27 @@ def _sql(select: str) -> str:
     return f"WITH RECURSIVE {CTES} {select}"
 
 
+def _lonlat() -> str:
+    """Inverse transverse Mercator by two series in the third flattening: to conformal, then to geographic latitude."""
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    radius = 6378137 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480]
+    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630]
+    number = lambda v: f"({v:.20e})::DOUBLE"
+    sinh, cosh = "((exp({0}) - exp(-({0}))) / 2)", "((exp({0}) + exp(-({0}))) / 2)"
+    xi = "xi0" + "".join(f" - {number(b)} * sin({2 * j} * xi0) * {cosh.format(f'{2 * j} * eta0')}" for j, b in enumerate(beta, 1))
+    eta = "eta0" + "".join(f" - {number(b)} * cos({2 * j} * xi0) * {sinh.format(f'{2 * j} * eta0')}" for j, b in enumerate(beta, 1))
+    latitude = "chi" + "".join(f" + {number(d)} * sin({2 * j} * chi)" for j, d in enumerate(delta, 1))
+    return f""", flat AS (SELECT change_type, rank, centre_y / {number(0.9996 * radius)} AS xi0, (centre_x - 500000) / {number(0.9996 * radius)} AS eta0 FROM top),
+      bent AS (SELECT change_type, rank, {xi} AS xi, {eta} AS eta FROM flat),
+      round_ AS (SELECT change_type, rank, asin(sin(xi) / {cosh.format('eta')}) AS chi, atan2({sinh.format('eta')}, cos(xi)) AS lam FROM bent)
+      SELECT change_type, rank::INT AS rank, round(33 + degrees(lam), 7) AS centroid_lon, round(degrees({latitude}), 7) AS centroid_lat FROM round_"""
+
+
+_LONLAT = _lonlat()
+
+
 def _areas(column: str, rules: tuple[Rule, ...], source: str = "classed", area: str = "100.0::DOUBLE") -> str:
     return f"""
       SELECT class_id, label, count(p.{column}) AS pixel_count, round(coalesce(sum(CASE WHEN p.{column} IS NOT NULL THEN {area} END), 0), 4) AS area_m2,
@@ -312,7 +333,8 @@ ORACLES = {
     "nearest_component": _sql("SELECT region_id, round(nearest, 4) AS nearest FROM nearest"),
     "context_distance": _sql("SELECT round(context_distance, 4) AS context_distance FROM context"),
     "region_geometry": _sql(
-        "SELECT region_id, round(compactness, 6) AS compactness, neighbours AS neighbour_polygon_count, round(reach, 4) AS reach FROM shapes"
+        """SELECT region_id, round(compactness, 6) AS compactness, round(area_m2 / perimeter_m, 6) AS area_perimeter_ratio,
+           round(sqrt(area_m2 / pi()), 6) AS equivalent_radius, neighbours AS neighbour_polygon_count, round(reach, 4) AS reach FROM shapes"""
     ),
     "buffer_footprint": _sql("SELECT DISTINCT row, col FROM near"),
     "zonal_stats": _sql(
@@ -320,6 +342,22 @@ ORACLES = {
            round(std_delta_ndvi, 6) AS std_delta_ndvi, round(min_delta_ndvi, 6) AS min_delta_ndvi, round(max_delta_ndvi, 6) AS max_delta_ndvi,
            round(class_1_share, 6) AS class_1_share, round(class_3_share, 6) AS class_3_share FROM zones"""
     ),
+    "zonal_more": _sql(
+        """SELECT region_id, round(median(ndvi_base::DOUBLE), 6) AS median_ndvi_base, round(median(delta::DOUBLE), 6) AS median_delta_ndvi,
+           round(avg(ndvi_target::DOUBLE), 6) AS mean_ndvi_target, round(avg(delta::DOUBLE), 6) AS mean_delta_ndvi,
+           round(stddev_samp(ndvi_base::DOUBLE), 6) AS std_ndvi_base, round(stddev_samp(ndvi_target::DOUBLE), 6) AS std_ndvi_target,
+           round(min(ndvi_base)::DOUBLE, 6) AS min_ndvi_base, round(max(ndvi_base)::DOUBLE, 6) AS max_ndvi_base,
+           round(min(ndvi_target)::DOUBLE, 6) AS min_ndvi_target, round(max(ndvi_target)::DOUBLE, 6) AS max_ndvi_target,
+           round(avg((class_target = 2)::INT::DOUBLE), 6) AS class_2_share, round(avg((class_target = 4)::INT::DOUBLE), 6) AS class_4_share,
+           round(avg((class_target = 5)::INT::DOUBLE), 6) AS class_5_share FROM rcells JOIN classed USING (row, col) GROUP BY region_id"""
+    ),
+    "filled_features": _sql(
+        """, spread AS (SELECT region_id, stddev_samp(ndvi_base::DOUBLE) AS b, stddev_samp(ndvi_target::DOUBLE) AS t, stddev_samp(delta::DOUBLE) AS d
+           FROM rcells JOIN classed USING (row, col) GROUP BY region_id)
+           SELECT region_id, round(coalesce(b, (SELECT median(b) FROM spread), 0), 6) AS std_ndvi_base,
+           round(coalesce(t, (SELECT median(t) FROM spread), 0), 6) AS std_ndvi_target, round(coalesce(d, (SELECT median(d) FROM spread), 0), 6) AS std_delta_ndvi
+           FROM spread"""
+    ),
     "context_ring": _sql(
         """SELECT region_id, round(surrounding_mean_ndvi, 6) AS surrounding_mean_ndvi, round(surrounding_mean_delta_ndvi, 6) AS surrounding_mean_delta_ndvi,
            round(area_m2 / greatest(green * 100.0, 100.0), 6) AS surrounding_green_area_ratio FROM top JOIN ring USING (region_id)"""
@@ -339,6 +377,16 @@ ORACLES = {
     "urban_greening": _sql("SELECT row, col, round(applied, 6) AS applied FROM greened"),
     "scenario_summary": _sql("SELECT scenario, count(*) AS pixel_count, round(count(*) * 100.0::DOUBLE / 10000, 6) AS area_ha FROM staged GROUP BY scenario"),
     "staged_forecast": _sql("SELECT row, col, scenario, round(forecast::DOUBLE, 5) AS forecast FROM forecast"),
+    "changed_pixels": _sql(
+        """SELECT count(*) FILTER (abs(s.ndvi_target - f.forecast) > 1e-8 + 1e-5 * abs(f.forecast)) AS changed
+           FROM staged s JOIN forecast f USING (row, col)"""
+    ),
+    "band_metadata": _sql(
+        """SELECT 'EPSG:32636' AS crs, any_value(width)::INT AS width, any_value(height)::INT AS height, 10.0::DOUBLE AS pixel_size_x, 10.0::DOUBLE AS pixel_size_y,
+           (-9999.0)::DOUBLE AS nodata, count(red_base) AS valid_count, round(min(red_base)::DOUBLE, 6) AS valid_min, round(max(red_base)::DOUBLE, 6) AS valid_max
+           FROM bands, size"""
+    ),
+    "lonlat_centroid": _sql(_LONLAT),
     "kmeans_predict": _sql(
         """SELECT row, col, list_position(d, list_min(d)) - 1 AS cluster FROM (SELECT row, col, [((ndvi_base::DOUBLE - 0.4) / 0.2 + 1) ** 2 + ((ndvi_target::DOUBLE - 0.4) / 0.2 + 1) ** 2,
            ((ndvi_base::DOUBLE - 0.4) / 0.2) ** 2 + ((ndvi_target::DOUBLE - 0.4) / 0.2 - 0.5) ** 2,

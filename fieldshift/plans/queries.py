@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import raster
-from ..functions.grid import Grid, band_area, from_utm, snap_down, snap_up, to_utm
+from ..functions.grid import Grid, band_area, snap_down, snap_up
 from ..functions.rules import CHANGE_RULES, INDEX_RULES, classify, single
 from ..operators import alignment, allocation, clustering, focal, pixels, polygons, quality, regions, statistics
 from ..sources import adapters
@@ -175,19 +175,14 @@ def line_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.where("pixel_count > 0").select("from_class", "to_class", "pixel_count")
 
 
-def geographic_round_trip(a: Analysis) -> DataFrame:
-    """Largest error in metres of region centres taken to degrees and back."""
-    grid = a.grid
-
-    def back(frames):
-        for frame in frames:
-            x, y = frame["centre_x"].to_numpy(float), frame["centre_y"].to_numpy(float)
-            x2, y2 = to_utm(*from_utm(x, y, grid.crs), grid.crs)
-            yield frame.assign(error=np.hypot(x - x2, y - y2))[["region_id", "error"]]
-
-    return a.largest.select("region_id", "centre_x", "centre_y").mapInPandas(back, "region_id long, error double")
+def changed_pixels(a: Analysis) -> DataFrame:
+    return allocation.changed_cells(forecast_of(staged(a), _influence(a), polygons.footprint(a.near), a.probabilities, a.grid))
 
 
+def filled_features(a: Analysis) -> DataFrame:
+    """Deviations of regions, those of single pixels being the median of the others."""
+    zones = polygons.zonal_statistics(a.region_cells, a.pixels)
+    return polygons.fill_with_medians(zones.select("region_id", "std_ndvi_base", "std_ndvi_target", "std_delta_ndvi"))
 
 
 QUERIES: dict[str, Query] = {
@@ -221,7 +216,9 @@ QUERIES: dict[str, Query] = {
     "component_perimeter": _of(lambda a: polygons.perimeters(a.region_cells, a.grid)),
     "nearest_component": _of(lambda a: polygons.nearest_regions(a.largest), 4),
     "context_distance": _of(lambda a: polygons.context_distance(a.largest), 4),
-    "region_geometry": _of(lambda a: a.geometry.select("region_id", "compactness", "neighbour_polygon_count", "reach"), reach=4),
+    "region_geometry": _of(
+        lambda a: a.geometry.select("region_id", "compactness", "area_perimeter_ratio", "equivalent_radius", "neighbour_polygon_count", "reach"), reach=4
+    ),
     "region_eccentricity": _of(lambda a: polygons.eccentricities(a.region_cells, a.grid)),
     "buffer_footprint": _of(lambda a: polygons.footprint(a.near)),
     "zonal_stats": _of(
@@ -229,6 +226,13 @@ QUERIES: dict[str, Query] = {
             "region_id", "valid_pixel_count", "mean_ndvi_base", "median_ndvi_target", "std_delta_ndvi", "min_delta_ndvi", "max_delta_ndvi", "class_1_share", "class_3_share"
         )
     ),
+    "zonal_more": _of(
+        lambda a: polygons.zonal_statistics(a.region_cells, a.pixels).select(
+            "region_id", "median_ndvi_base", "median_delta_ndvi", "mean_ndvi_target", "mean_delta_ndvi", "std_ndvi_base", "std_ndvi_target",
+            "min_ndvi_base", "max_ndvi_base", "min_ndvi_target", "max_ndvi_target", "class_2_share", "class_4_share", "class_5_share",
+        )
+    ),
+    "filled_features": _of(filled_features),
     "context_ring": _of(lambda a: polygons.context_features(a.near, a.largest, a.pixels, a.grid)),
     "forecast_weights": _of(_weights),
     "influence_surface": _of(_influence),
@@ -243,6 +247,7 @@ QUERIES: dict[str, Query] = {
     "urban_greening": _of(greened),
     "scenario_summary": _of(lambda a: statistics.scenario_summary(staged(a), a.grid.cell_area)),
     "staged_forecast": _of(staged_forecast, 5),
+    "changed_pixels": _of(changed_pixels),
     "kmeans_predict": _of(kmeans_predict),
     "pixel_clusters": _of(pixel_clusters),
     "region_clusters": _of(lambda a: a.region_model[1]),
@@ -252,7 +257,6 @@ QUERIES: dict[str, Query] = {
     "clip_polygon": _of(clip_polygon),
     "bilinear_resample": _of(bilinear_resample, 5),
     "lonlat_centroid": _of(lonlat_centroid, 7),
-    "geographic_round_trip": _of(geographic_round_trip, 3),
     "quality_report": _of(lambda a: a.checks),
     "band_metadata": lambda s, d: _round(quality.band_metadata(adapters.vector_bands(s, d), "red_base", adapters.vector_grid(s, d))),
     "line_class_areas": lambda s, d: _round(statistics.class_areas(_lines(s, d), "class_base", INDEX_RULES, 100.0)),

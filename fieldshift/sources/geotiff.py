@@ -1,11 +1,13 @@
 """Single-band GeoTIFF files as pixel relations, and back.
 
 Files are read by Spark as binary rows, so they may lie in any store it reads, and decoded where they land: many tiles
-are many tasks. Uncompressed and deflate data in strips or tiles are understood.
+are many tasks. Uncompressed, deflate and LZW data in strips or tiles are understood.
 """
 
 from __future__ import annotations
 
+import logging
+import math
 import re
 import struct
 import zlib
@@ -25,7 +27,13 @@ PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, SAMPLE_FORMAT = 31
 PIXEL_SCALE, TIE_POINT, GEO_KEYS, GDAL_METADATA, GDAL_NODATA = 33550, 33922, 34735, 42112, 42113
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
 KINDS = {1: "u", 2: "i", 3: "f"}
-MODEL_TYPE, RASTER_TYPE, GEOGRAPHIC, PROJECTED = 1024, 1025, 2048, 3072
+MODEL_TYPE, RASTER_TYPE, GEOGRAPHIC, PROJECTED, LINEAR_UNIT = 1024, 1025, 2048, 3072, 3076
+# Metres in the linear units metre, foot and US survey foot.
+UNITS = {9001: 1.0, 9002: 0.3048, 9003: 1200 / 3937}
+# The LZW codes that clear the table and end the data.
+CLEAR, END = 256, 257
+
+LOG = logging.getLogger(__name__)
 
 
 class RasterError(ValueError):
@@ -33,14 +41,18 @@ class RasterError(ValueError):
 
 
 @dataclass(frozen=True)
-class Raster:
-    values: np.ndarray
+class Header:
     grid: Grid
     nodata: float | None
     scale: float = 1.0
     offset: float = 0.0
 
 
+@dataclass(frozen=True)
+class Raster(Header):
+    values: np.ndarray | None = None
+
+
 def _tags(data: bytes) -> tuple[str, dict]:
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
@@ -58,10 +70,39 @@ def _tags(data: bytes) -> tuple[str, dict]:
     return order, found
 
 
+def unpack_lzw(data: bytes) -> bytes:
+    """LZW as TIFF has it: codes of 9 to 12 bits, high bits first, a code wider one entry before the table is full."""
+    out, held, bits, at, width = bytearray(), 0, 0, 0, 9
+    table: list[bytes] = []
+    last = b""
+    while True:
+        while bits < width:
+            if at == len(data):
+                return bytes(out)
+            held, bits, at = (held << 8 | data[at]) & 0xFFFFFFFF, bits + 8, at + 1
+        code = held >> (bits - width) & ((1 << width) - 1)
+        bits -= width
+        if code == END:
+            return bytes(out)
+        if code == CLEAR:
+            table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, b""
+            continue
+        if code > len(table) or (code == len(table) and not last):
+            raise RasterError("broken LZW data")
+        entry = table[code] if code < len(table) else last + last[:1]
+        out += entry
+        if last:
+            table.append(last + entry[:1])
+        last = entry
+        width = min(12, max(9, (len(table) + 1).bit_length()))
+
+
 def _block(raw: bytes, tags: dict, kind: np.dtype, width: int) -> np.ndarray:
     method = tags.get(COMPRESSION, [1])[0]
     if method in (8, 32946):
         raw = zlib.decompress(raw)
+    elif method == 5:
+        raw = unpack_lzw(raw)
     elif method != 1:
         raise RasterError(f"compression {method} is not read")
     predictor = tags.get(PREDICTOR, [1])[0]
@@ -72,10 +113,38 @@ def _block(raw: bytes, tags: dict, kind: np.dtype, width: int) -> np.ndarray:
     return np.cumsum(out, axis=1, dtype=kind) if predictor == 2 else out
 
 
-def decode(data: bytes) -> Raster:
-    order, tags = _tags(data)
+def header(data: bytes) -> Header:
+    """What a file says of itself, without its values."""
+    return _header(_tags(data)[1])
+
+
+def _header(tags: dict) -> Header:
     if tags.get(SAMPLES, [1])[0] != 1:
         raise RasterError("one band is expected")
+    if PIXEL_SCALE not in tags or TIE_POINT not in tags:
+        raise RasterError("the raster has no place")
+    keys = tags.get(GEO_KEYS, [])
+    codes = {keys[i]: keys[i + 3] for i in range(4, len(keys), 4) if keys[i + 1] == 0}
+    code = codes.get(PROJECTED) or codes.get(GEOGRAPHIC)
+    if not code:
+        raise RasterError("the raster has no coordinate system")
+    unit = codes.get(LINEAR_UNIT, 9001)
+    if unit not in UNITS:
+        raise RasterError(f"linear unit {unit} is not known")
+    sx, sy = tags[PIXEL_SCALE][:2]
+    i, j, _, x, y, _ = tags[TIE_POINT][:6]
+    meta = {m[0].upper(): float(m[1]) for m in re.findall(r'name="(SCALE|OFFSET)"[^>]*>([^<]+)<', tags.get(GDAL_METADATA, ""), re.I)}
+    scale, offset = meta.get("SCALE", 1.0), meta.get("OFFSET", 0.0)
+    if scale == 0 or not math.isfinite(scale) or not math.isfinite(offset):
+        raise RasterError(f"scale {scale} and offset {offset} give no values")
+    nodata = tags.get(GDAL_NODATA)
+    grid = Grid(x - i * sx, y + j * sy, sx, sy, tags[WIDTH][0], tags[HEIGHT][0], f"EPSG:{code}", UNITS[unit])
+    return Header(grid, float(nodata) if nodata else None, scale, offset)
+
+
+def decode(data: bytes) -> Raster:
+    order, tags = _tags(data)
+    known = _header(tags)
     width, height = tags[WIDTH][0], tags[HEIGHT][0]
     kind = np.dtype(f"{order}{KINDS[tags.get(SAMPLE_FORMAT, [1])[0]]}{tags[BITS][0] // 8}")
     values = np.empty((height, width), kind.newbyteorder("="))
@@ -91,20 +160,7 @@ def decode(data: bytes) -> Raster:
         for i, (at, size) in enumerate(zip(tags[STRIP_OFFSETS], tags[STRIP_BYTES])):
             part = _block(data[at : at + size], tags, kind, width)
             values[i * rows : i * rows + len(part)] = part[: height - i * rows]
-    if PIXEL_SCALE not in tags or TIE_POINT not in tags:
-        raise RasterError("the raster has no place")
-    keys = tags.get(GEO_KEYS, [])
-    codes = {keys[i]: keys[i + 3] for i in range(4, len(keys), 4) if keys[i + 1] == 0}
-    code = codes.get(PROJECTED) or codes.get(GEOGRAPHIC)
-    if not code:
-        raise RasterError("the raster has no coordinate system")
-    sx, sy = tags[PIXEL_SCALE][:2]
-    i, j, _, x, y, _ = tags[TIE_POINT][:6]
-    meta = {m[0]: float(m[1]) for m in re.findall(r'name="(SCALE|OFFSET)"[^>]*>([^<]+)<', tags.get(GDAL_METADATA, ""), re.I)}
-    nodata = tags.get(GDAL_NODATA)
-    return Raster(
-        values, Grid(x - i * sx, y + j * sy, sx, sy, width, height, f"EPSG:{code}"), float(nodata) if nodata else None, meta.get("SCALE", 1.0), meta.get("OFFSET", 0.0)
-    )
+    return Raster(known.grid, known.nodata, known.scale, known.offset, values)
 
 
 def encode(values: np.ndarray, grid: Grid, nodata: float | None = raster.NODATA) -> bytes:
@@ -169,20 +225,23 @@ def read(spark: SparkSession, path: str, scaled: bool = True) -> DataFrame:
 
 
 def describe(spark: SparkSession, path: str) -> list[tuple[str, Grid, float | None]]:
-    """(path, grid, nodata) of each file: a row per raster."""
+    """(path, grid, nodata) of each file, from its header: a row per raster. A file without nodata is logged."""
 
     def look(frames):
         for frame in frames:
             rows = []
             for name, content in zip(frame["path"], frame["content"]):
-                image = decode(bytes(content))
+                image = header(bytes(content))
                 g = image.grid
-                rows.append((name, g.left, g.top, g.cell_x, g.cell_y, g.width, g.height, g.crs, image.nodata))
-            yield pd.DataFrame(rows, columns=["path", "left", "top", "cell_x", "cell_y", "width", "height", "crs", "nodata"])
+                rows.append((name, g.left, g.top, g.cell_x, g.cell_y, g.width, g.height, g.crs, g.metres, image.nodata))
+            yield pd.DataFrame(rows, columns=["path", "left", "top", "cell_x", "cell_y", "width", "height", "crs", "metres", "nodata"])
 
-    schema = "path string, left double, top double, cell_x double, cell_y double, width int, height int, crs string, nodata double"
+    schema = "path string, left double, top double, cell_x double, cell_y double, width int, height int, crs string, metres double, nodata double"
     rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(look, schema).collect()
-    return [(r.path, Grid(r["left"], r.top, r.cell_x, r.cell_y, r.width, r.height, r.crs), r.nodata) for r in rows]
+    for r in rows:
+        if r.nodata is None:
+            LOG.warning("%s sets no nodata value", r.path)
+    return [(r.path, Grid(r["left"], r.top, r.cell_x, r.cell_y, r.width, r.height, r.crs, r.metres), r.nodata) for r in rows]
 
 
 def write(cells: DataFrame, value: str, path: str, grid: Grid, nodata: float = raster.NODATA, kind: str = "float32", most: int = 200_000_000) -> None:

@@ -153,4 +153,8 @@ def _shapefile(path: Path) -> tuple[list[Polygon], str]:
     zone = re.search(r"UTM_zone_(\d+)([NS])", text, re.I)
     if code:
         return polygons, f"EPSG:{code[1]}"
-    return polygons, f"EPSG:{(32600 if zone[2].upper() == 'N' else 32700) + int(zone[1])}" if zone else "EPSG:4326"
+    if zone and re.search(r"WGS_?\s?(19)?84", text, re.I):
+        return polygons, f"EPSG:{(32600 if zone[2].upper() == 'N' else 32700) + int(zone[1])}"
+    if "PROJCS" not in text.upper() and re.search(r"WGS_?\s?(19)?84", text, re.I):
+        return polygons, "EPSG:4326"
+    raise InputError(f"{path.name} has a coordinate system that is not known here")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,16 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written below ``spark.checkpoint.dir`` and read back; removed when the driver's JVM ends."""
+    """``df`` written below ``spark.checkpoint.dir`` and read back; removed when the driver's JVM ends.
+
+    Where that is unset, a temporary folder serves a session whose executors are in the driver; on a cluster it is an error.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="fieldshift-raster-"))
         root = sc.getCheckpointDir()
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -10,12 +10,6 @@ from fieldshift.plans.oracles import ORACLES
 from fieldshift.plans.queries import QUERIES
 
 D = "/root/testdata/sf0.001"
-CHOSEN = [
-    "ndvi_class_areas", "common_mask", "ndvi_ready_int16", "scaled_band", "classify_boundaries", "value_stats", "transition_matrix",
-    "transition_probabilities", "delta_display_range", "row_area_model", "change_components", "largest_changes", "region_geometry",
-    "zonal_stats", "context_ring", "local_std_5x5", "recovery_capacity", "kmeans_predict", "clip_polygon", "bilinear_resample",
-    "line_transition_matrix", "line_change_runs",
-]
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +26,7 @@ def plain(v):
     return round(float(v), 5) + 0.0 if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_sql(spark, duck, name):
     got = QUERIES[name](spark, D)
     columns = sorted(got.columns)

@@ -178,11 +178,10 @@ def test_quotas_round_halves_to_even_and_slicing_is_greedy(spark):
     p = spark.createDataFrame([(4, 1, 2.5 / 80), (4, 2, 1.5 / 80), (4, 3, 3.5 / 80), (3, 1, 0.1), (3, 2, 0.5)], "from_class int, to_class int, probability double")
     table = allocation.quotas(cells, p, rising=False)
     assert sorted((r.from_class, r.to_class, r.requested) for r in table.collect()) == [(3, 2, 2), (4, 1, 2), (4, 2, 2), (4, 3, 4)]
-    for slices in (1, 7, 64):
-        got = allocation.select_by_quota(cells, table, 8, slices).collect()
-        best = sorted((r for r in rows if r[2] == 4), key=lambda r: -r[3])
-        want = {(r[0], r[1]): to for r, to in zip(best, [1, 1, 2, 2, 3, 3, 3, 3])} | {(24, 0): 2, (23, 0): 2}
-        assert {(r.row, r.col): r.to_class for r in got} == want
+    got = allocation.select_by_quota(cells, table, 8).collect()
+    best = sorted((r for r in rows if r[2] == 4), key=lambda r: -r[3])
+    want = {(r[0], r[1]): to for r, to in zip(best, [1, 1, 2, 2, 3, 3, 3, 3])} | {(24, 0): 2, (23, 0): 2}
+    assert {(r.row, r.col): r.to_class for r in got} == want
 
 
 def test_change_direction_is_checked(spark):
@@ -272,7 +271,7 @@ def test_resampling_weighs_valid_cells(spark):
     corners = np.stack([x[:-1, :-1], x[:-1, 1:], x[1:, :-1], x[1:, 1:]])
     assert np.allclose(got, np.nanmean(corners, axis=0))
     with pytest.raises(ValueError):
-        alignment.resample(cells_of(spark, x), g.Grid(0, 1, 1, 1, 2, 2, "EPSG:3857"), GRID)
+        alignment.resample(cells_of(spark, x), g.Grid(0, 1, 1, 1, 2, 2, "EPSG:2154"), GRID)
 
 
 def test_rectangles():
@@ -299,3 +298,20 @@ def test_raster_requirements(spark):
     with pytest.raises(quality.InputError):
         quality.require_raster(one, "value", GRID, (1000, 0, 2000, 10))
     assert quality.band_metadata(one, "value", GRID).first().valid_count == 4
+
+
+def test_empty_cells_leak_into_scores_only_when_asked(spark):
+    rng = np.random.default_rng(11)
+    rows = [(r, c, 0.6, float(np.float32(v)), float(np.float32(v - 0.6))) for r in range(10) for c in range(8) for v in [rng.uniform(0.1, 0.5)] if (r, c) != (4, 4)]
+    cells = spark.createDataFrame(rows, "row int, col int, ndvi_base float, ndvi_target float, delta float").withColumn("capacity", F.abs("delta").cast("double"))
+    influence = cells.select("row", "col", F.lit(0.5).alias("influence"))
+    read = lambda df: {(r.row, r.col): r.score for r in df.collect()}
+    size = {(r, c): abs(d) for r, c, _, _, d in rows}
+    top = max(size.values())
+    leaky, strict = (read(allocation.degradation_scores(cells, influence, GRID, leak)) for leak in (True, False))
+    assert all(leaky[k] - strict[k] == pytest.approx(0.25 * (v / top - v / 9999), abs=1e-6) for k, v in size.items())
+    leaky, strict = (read(allocation.recovery_scores(cells, GRID, leak)) for leak in (True, False))
+    assert all(strict[k] - leaky[k] == pytest.approx(v / top - v / 9999, abs=1e-6) for k, v in size.items())
+    full = cells.unionByName(cells.limit(1).withColumn("row", F.lit(4)).withColumn("col", F.lit(4)))
+    same = [read(allocation.recovery_scores(full, GRID, leak)) for leak in (True, False)]
+    assert same[0] == same[1]
