@@ -180,7 +180,7 @@ def pixel_cluster_statistics(labelled: DataFrame) -> DataFrame:
     """Per cluster: count and means, and the median of the second date."""
     mean = lambda c, name: F.avg(c).alias(name)
     labelled = written(labelled.select("cluster", *FEATURES), "labelled")  # so that labels are worked out once
-    middle = percentiles(labelled, ["cluster"], "ndvi_target", [0.5]).select("cluster", F.col("p")[0].alias("median_ndvi_target"))
+    middle = percentiles(labelled, ["cluster"], "ndvi_target", [0.5], stored=True).select("cluster", F.col("p")[0].alias("median_ndvi_target"))
     sums = labelled.groupBy("cluster").agg(
         F.count("*").alias("pixel_count"),
         mean("ndvi_base", "mean_ndvi_base"),

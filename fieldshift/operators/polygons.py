@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import raster
 from ..functions.grid import Grid
 from ..functions.rules import INDEX_RULES
+from ..sources.scratch import written
 from .ranks import medians, percentiles_of_all
 
 # What a region's influence is made of.
@@ -143,7 +144,7 @@ def eccentricities(cells: DataFrame, grid: Grid) -> DataFrame:
 
 def zonal_statistics(cells: DataFrame, pixels: DataFrame) -> DataFrame:
     """Per region: count; mean, median, sample deviation, least and largest of both dates and the change; class shares."""
-    inside = pixels.join(cells, ["row", "col"])
+    inside = written(pixels.join(cells, ["row", "col"]), "inside")
     aggregates = [F.count("*").alias("valid_pixel_count")]
     for column, name in (("ndvi_base", "ndvi_base"), ("ndvi_target", "ndvi_target"), ("delta", "delta_ndvi")):
         x = F.col(column).cast("double")
@@ -157,7 +158,7 @@ def zonal_statistics(cells: DataFrame, pixels: DataFrame) -> DataFrame:
         F.avg((F.col("class_target") == r.class_id).cast("double")).alias(f"class_{r.class_id}_share") for r in INDEX_RULES
     ]
     names = {"ndvi_base": "median_ndvi_base", "ndvi_target": "median_ndvi_target", "delta": "median_delta_ndvi"}
-    middle = medians(inside, ["region_id"], list(names)).withColumnsRenamed(names)
+    middle = medians(inside, ["region_id"], list(names), stored=True).withColumnsRenamed(names)
     return inside.groupBy("region_id").agg(*aggregates).join(F.broadcast(middle), "region_id", "left")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import raster
 from ..functions.rules import Rule, rule_table
+from ..sources.scratch import written
 from .ranks import percentiles, percentiles_of_all
 
 HECTARE = 10_000.0
@@ -20,8 +21,8 @@ def value_statistics(cells: DataFrame, values: Sequence[str]) -> DataFrame:
     All columns are unpivoted and aggregated in one pass; medians are found by counts.
     """
     rows = F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("x")) for v in values])).alias("m")
-    long = cells.select(rows).select("m.*").where(raster.finite(F.col("x")))
-    middle = percentiles(long, ["metric"], "x", [0.5]).select("metric", F.col("p")[0].alias("median"))
+    long = written(cells.select(rows).select("m.*").where(raster.finite(F.col("x"))), "values")
+    middle = percentiles(long, ["metric"], "x", [0.5], stored=True).select("metric", F.col("p")[0].alias("median"))
     sums = (
         long.groupBy("metric")
         .agg(

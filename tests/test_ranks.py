@@ -25,7 +25,9 @@ def test_ranked_values(spark, pieces):
     assert got == {(g, r): np.sort(data[g])[r] for g, r in wanted if r < len(data[g])}
 
 
-def test_percentiles_and_medians(spark):
+@pytest.mark.parametrize("at_once", [0, 1 << 20])
+def test_percentiles_and_medians(spark, monkeypatch, at_once):
+    monkeypatch.setattr(ranks, "AT_ONCE", at_once)
     data = groups(2)
     rows = [(g, float(v)) for g, vs in data.items() for v in vs] + [("even", None), ("even", float("nan")), ("none", None)]
     values = spark.createDataFrame(rows, "g string, x double")
