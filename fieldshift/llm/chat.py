@@ -79,3 +79,19 @@ def neighbouring_pairs(conversations: DataFrame) -> DataFrame:
     return conversations.select(
         F.floor(conv / 2).cast("long").alias("pair_id"), (F.pmod(conv, F.lit(2)) == 0).alias("chosen"), "turn", "role", "text"
     )
+
+
+def answered_pairs(conversations: DataFrame) -> DataFrame:
+    """Turns for :func:`preferences` from a table without preferences: a conversation as it is is chosen over the same
+    one that ends with the last turn of the conversation whose id comes next by one, or without a last turn if there is
+    none. So the sides share all turns but the last.
+
+    Turns go by turn, role, text, nulls first; turns equal to the last count as the last. Rows without an id are left out.
+    """
+    known = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("pair_id"), F.struct("turn", "role", "text").alias("t"))
+    last = known.groupBy("pair_id").agg(F.max("t").alias("last"))
+    before = known.join(last, "pair_id").where(F.col("t") < F.col("last")).select("pair_id", "t")
+    following = last.select((F.col("pair_id") - 1).alias("pair_id"), F.col("last").alias("next"))
+    ends = last.join(following, "pair_id").select("pair_id", F.struct("last.turn", "next.role", "next.text").alias("t"))
+    rejected = before.unionByName(ends).withColumn("chosen", F.lit(False))
+    return known.withColumn("chosen", F.lit(True)).unionByName(rejected).select("pair_id", "chosen", "t.*")

@@ -93,14 +93,22 @@ FROM embeddings e LEFT JOIN (SELECT a, min(b) AS component_id FROM reach GROUP B
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.preferences(chat.neighbouring_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return chat.preferences(chat.answered_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
 OP8_SQL = """
-WITH turns AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, role, text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
+WITH ranked AS (
+  SELECT conv_id, turn, role, text,
+         rank() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC NULLS LAST, text DESC NULLS LAST) AS back
   FROM conversations WHERE conv_id IS NOT NULL
+), ends AS (
+  SELECT conv_id, any_value(turn) AS turn, any_value(role) AS role, any_value(text) AS text FROM ranked WHERE back = 1 GROUP BY conv_id
+), sides AS (
+  SELECT conv_id AS pair_id, 0 AS side, turn, role, text FROM ranked
+  UNION ALL SELECT conv_id, 1, turn, role, text FROM ranked WHERE back > 1
+  UNION ALL SELECT a.conv_id, 1, a.turn, b.role, b.text FROM ends a JOIN ends b ON a.conv_id + 1 = b.conv_id
+), turns AS (
+  SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM sides
 ), matched AS (
   SELECT pair_id, pos, count(*) = 2 AND count(DISTINCT coalesce(role, chr(1))) = 1
          AND count(DISTINCT coalesce(text, chr(1))) = 1 AS same

@@ -43,3 +43,27 @@ def test_empty_and_pairing(spark):
     turns = spark.createDataFrame([(4, 0, "user", "q", 1), (5, 0, "user", "q", 1), (6, 0, "user", "r", 1), (None, 0, "user", "r", 1)], "conv_id long, turn long, role string, text string, pair_id int")
     got = {r.pair_id: (r.n_prefix, r.n_chosen, r.n_rejected) for r in chat.preferences(chat.neighbouring_pairs(turns)).collect()}
     assert got == {2: (1, 1, 1), 3: (0, 1, 0)}
+
+
+def test_answered_pairs_share_all_but_the_last_turn(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "user", "r"), (2, 1, "assistant", "b"), (2, 1, "assistant", "b"), (4, None, None, None), (None, 0, "user", "z")]
+    turns = spark.createDataFrame([(*r, 7, "t") for r in rows], "conv_id long, turn long, role string, text string, pair_id int, last string")
+    got = {r.pair_id: r for r in chat.preferences(chat.answered_pairs(turns)).collect()}
+    assert {k: (r.n_prefix, r.n_chosen, r.n_rejected) for k, r in got.items()} == {1: (1, 2, 2), 2: (1, 3, 1), 4: (0, 1, 0)}
+    assert got[1].chosen == "<|assistant|>\na\n<|end|>\n" and got[1].rejected == "<|assistant|>\nb\n<|end|>\n"
+    assert got[2].rejected == "" and got[2].prompt == "<|user|>\nr\n<|end|>\n"
+    assert chat.answered_pairs(turns.limit(0)).count() == 0
+
+
+def test_query_equals_sql_and_has_prompts(spark):
+    import duckdb
+
+    from fieldshift.llm.queries import OP8_SQL, op8_chat
+
+    con = duckdb.connect()
+    con.execute("create view conversations as select * from '/root/testdata/sf0.01/conversations.parquet'")
+    cursor = con.execute(OP8_SQL)
+    names = [c[0] for c in cursor.description]
+    rows = op8_chat(spark, "/root/testdata/sf0.01").select(names).collect()
+    assert sorted(map(tuple, rows)) == sorted(cursor.fetchall())
+    assert len(rows) == 100 and min(r.n_prefix for r in rows) >= 1 and all(r.prompt and r.chosen for r in rows)
