@@ -54,6 +54,11 @@ def preferences(turns: DataFrame) -> DataFrame:
             F.sort_array(F.collect_list(F.when(~F.col("chosen"), turn))).alias("b"),
         )
     )
+    return formatted(sides)
+
+
+def formatted(sides: DataFrame) -> DataFrame:
+    """The columns of :func:`preferences` from (pair_id, a, b), the sorted turns of chosen and rejected."""
     same = F.zip_with(
         "a", "b", lambda x, y: x.isNotNull() & y.isNotNull() & x["role"].eqNullSafe(y["role"]) & x["text"].eqNullSafe(y["text"])
     )
@@ -82,16 +87,17 @@ def neighbouring_pairs(conversations: DataFrame) -> DataFrame:
 
 
 def answered_pairs(conversations: DataFrame) -> DataFrame:
-    """Turns for :func:`preferences` from a table without preferences: a conversation as it is is chosen over the same
-    one that ends with the last turn of the conversation whose id comes next by one, or without a last turn if there is
-    none. So the sides share all turns but the last.
+    """(pair_id, a, b) for :func:`formatted` from a table without preferences: a conversation as it is is chosen over the
+    same one that ends with the last turn of the conversation whose id comes next by one, or without a last turn if there
+    is none. So the sides share all turns but the last.
 
-    Turns go by turn, role, text, nulls first; turns equal to the last count as the last. Rows without an id are left out.
+    Turns go by turn, role, text, nulls first; turns equal to the last count as the last. Rows without an id are left out;
+    an empty table gives no row. Conversations are shuffled once; beside that only last turns are.
     """
     known = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("pair_id"), F.struct("turn", "role", "text").alias("t"))
-    last = known.groupBy("pair_id").agg(F.max("t").alias("last"))
-    before = known.join(last, "pair_id").where(F.col("t") < F.col("last")).select("pair_id", "t")
-    following = last.select((F.col("pair_id") - 1).alias("pair_id"), F.col("last").alias("next"))
-    ends = last.join(following, "pair_id").select("pair_id", F.struct("last.turn", "next.role", "next.text").alias("t"))
-    rejected = before.unionByName(ends).withColumn("chosen", F.lit(False))
-    return known.withColumn("chosen", F.lit(True)).unionByName(rejected).select("pair_id", "chosen", "t.*")
+    whole = known.groupBy("pair_id").agg(F.sort_array(F.collect_list("t")).alias("a")).withColumn("last", F.element_at("a", -1))
+    ends = known.groupBy("pair_id").agg(F.max("t").alias("end")).select((F.col("pair_id") - 1).alias("pair_id"), "end")
+    answer = F.struct(F.col("last.turn").alias("turn"), F.col("end.role").alias("role"), F.col("end.text").alias("text"))
+    before = F.filter("a", lambda t: t < F.col("last"))
+    other = F.when(F.col("end").isNull(), before).otherwise(F.sort_array(F.concat(before, F.array(answer))))
+    return whole.join(ends, "pair_id", "left").select("pair_id", "a", other.alias("b"))

@@ -93,7 +93,7 @@ FROM embeddings e LEFT JOIN (SELECT a, min(b) AS component_id FROM reach GROUP B
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.preferences(chat.answered_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return chat.formatted(chat.answered_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
 OP8_SQL = """

@@ -48,7 +48,7 @@ def test_empty_and_pairing(spark):
 def test_answered_pairs_share_all_but_the_last_turn(spark):
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "user", "r"), (2, 1, "assistant", "b"), (2, 1, "assistant", "b"), (4, None, None, None), (None, 0, "user", "z")]
     turns = spark.createDataFrame([(*r, 7, "t") for r in rows], "conv_id long, turn long, role string, text string, pair_id int, last string")
-    got = {r.pair_id: r for r in chat.preferences(chat.answered_pairs(turns)).collect()}
+    got = {r.pair_id: r for r in chat.formatted(chat.answered_pairs(turns)).collect()}
     assert {k: (r.n_prefix, r.n_chosen, r.n_rejected) for k, r in got.items()} == {1: (1, 2, 2), 2: (1, 3, 1), 4: (0, 1, 0)}
     assert got[1].chosen == "<|assistant|>\na\n<|end|>\n" and got[1].rejected == "<|assistant|>\nb\n<|end|>\n"
     assert got[2].rejected == "" and got[2].prompt == "<|user|>\nr\n<|end|>\n"
