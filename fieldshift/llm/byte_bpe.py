@@ -13,6 +13,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -21,6 +22,10 @@ from .support import Memory, map_documents
 
 #: Pieces, and pre-tokens, that each of a Python worker's two generations remembers.
 REMEMBERED = 120_000
+#: Most documents and bytes of text that are encoded at once.
+ROWS, BYTES = 1024, 2 << 20
+#: A space that goes on with white space, so that no pre-token need begin at it; RE2, for Arrow.
+UNEVEN = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 #: Longer pieces are not remembered.
 LONGEST_REMEMBERED = 64
 
@@ -107,17 +112,23 @@ def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+def _joined(values: pa.Array, first: np.ndarray) -> pa.Array:
+    """Binary values of one fresh array joined: those from first[i] up to first[i + 1] become value i."""
+    ends = np.frombuffer(values.buffers()[1], np.int32)[: len(values) + 1][first] if len(values) else np.zeros(len(first), np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends)), values.buffers()[2] or pa.py_buffer(b"")])
+
+
 class Codec:
     """Encodes and decodes by a vocabulary in rank order; ids travel as little-endian unsigned 32-bit integers."""
 
-    #: A space that goes on with white space, so that no pre-token need begin at it.
-    _uneven = re.compile(r"\s ")
+    #: Before a space after other than white space a pre-token begins.
     _cut = re.compile(r"(?<=\S)(?= )")
 
     def __init__(self, vocabulary: PerfectHash, pattern: str):
         self.hash, self.tokens = vocabulary, vocabulary.keys
         self.ranks = {t: i for i, t in enumerate(self.tokens) if t}
         self.split = regex.compile(pattern).findall
+        self.spelling = pa.array(self.tokens, pa.binary())
         self.pieces, self.words = Memory(REMEMBERED), Memory(REMEMBERED)
 
     def _word(self, word: str) -> bytes:
@@ -139,17 +150,38 @@ class Codec:
         return ids
 
     def encode(self, text: str) -> bytes:
-        if self._uneven.search(text):
-            pieces = self._cut.split(text)
-        else:
-            head, *rest = text.split(" ")
-            pieces = ([head] if head else []) + [f" {p}" for p in rest]
         self.pieces.turn()  # between texts, so that one text sees one generation
         known, slow = self.pieces.now.get, self._slow
-        return b"".join([known(p) or slow(p) for p in pieces])
+        return b"".join([known(p) or slow(p) for p in self._cut.split(text)])
+
+    def encode_all(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text (null: none) as binary values. What stands between single spaces is looked up once."""
+        texts = pc.fill_null(texts, "")
+        odd = np.flatnonzero(pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False))
+        if len(odd) == len(texts):
+            return pa.array(list(map(self.encode, texts.to_pylist())), pa.binary())
+        if len(odd):
+            even = np.setdiff1d(np.arange(len(texts)), odd)
+            parts = [self.encode_all(texts.take(pa.array(even))), *[pa.array([self.encode(texts[i].as_py())], pa.binary()) for i in odd.tolist()]]
+            return pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate([even, odd]))))
+        words = pc.split_pattern(texts, " ")
+        first = words.offsets.to_numpy()  # of each text's words; the first of them has no space before it
+        flat = words.flatten()
+        distinct = flat.dictionary_encode()
+        self.pieces.turn()
+        known, slow = self.pieces.now.get, self._slow
+        after = [f" {w}" for w in distinct.dictionary.to_numpy(zero_copy_only=False)]
+        heads = flat.take(pa.array(first[:-1])).to_numpy(zero_copy_only=False).tolist()
+        ids = pa.array([known(p) or slow(p) for p in after + heads], pa.binary())
+        index = distinct.indices.to_numpy().copy()
+        index[first[:-1]] = len(after) + np.arange(len(heads))
+        return _joined(ids.take(pa.array(index)), first)
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode_all(self, ids: pa.Array) -> pa.Array:
+        """The bytes of each text's ids, both as binary values."""
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+        numbers = np.frombuffer(ids.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view("<u4") if len(ids) else np.empty(0, np.uint32)
+        return _joined(self.spelling.take(pa.array(numbers)), (ends - ends[0]) // 4)
 
 
 _codecs: dict[str, Codec] = {}
@@ -180,18 +212,18 @@ def encode(
         codec = _codec(shared, pattern)
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [codec.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
-            counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-            names, arrays = ["doc_id", "n_tokens", "ids"], [batch.column(0).cast(pa.int64()), counts, pa.array(ids, pa.binary())]
+            ids = codec.encode_all(batch.column(1))
+            counts = pc.divide(pc.binary_length(ids).cast(pa.int64()), 4)
+            names, arrays = ["doc_id", "n_tokens", "ids"], [batch.column(0).cast(pa.int64()), counts, ids]
             if decoded:
                 names.append("decoded")
-                arrays.append(pa.array(list(map(codec.decode, ids)), pa.binary()))
+                arrays.append(codec.decode_all(ids))
             return pa.RecordBatch.from_arrays(arrays, names)
 
         return apply
 
     schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded
-    return map_documents(docs, [id_col, text_col], schema, make)
+    return map_documents(docs, [id_col, text_col], schema, make, ROWS, BYTES)
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
